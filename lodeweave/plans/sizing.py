@@ -21,5 +21,5 @@ def hot_values(df: DataFrame, col: str, share: int = 1000, tracked: int = 16_384
     A frequent-items sketch over all rows, merged across partitions. The counts are only used to choose
     a path for a value, never as results.
     """
-    row = df.agg(F.count(col).alias("n"), F.approx_top_k(col, F.lit(share), F.lit(tracked)).alias("top")).first()
+    row = df.agg(F.count(col).alias("n"), F.expr(f"approx_top_k(`{col}`, {share}, {tracked})").alias("top")).first()
     return [x["item"] for x in row["top"] or [] if x["item"] is not None and x["count"] * share > row["n"]]
