@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.operators.cardinalities import constant_probabilities, mode_probabilities, property_cardinalities
 from lodeweave.plans.lineage import cut
-from lodeweave.plans.shapes import CONST, Shape, add_atom, body_order, key_columns, keys, parse_shape, shape_text, side
+from lodeweave.plans.shapes import CONST, Shape, add_atom, body_order, differs_from_head, key_columns, keys, parse_shape, shape_text, side
 from lodeweave.plans.sizing import broadcast_if_small
 
 MIN_CONFIDENCE = 0.001
@@ -24,7 +24,7 @@ def by_shape(rules: DataFrame) -> Iterator[tuple[Shape, DataFrame]]:
 
 
 def instances(own: DataFrame, facts: DataFrame, shape: Shape, injective: bool, head: bool = False) -> DataFrame:
-    """Ground instances of the bodies (and heads) of the rules ``own`` of a shape: ``rule_id``, p<j>, v<i>, k<j>.
+    """Ground instances of the bodies (and heads) of the rows ``own`` of key columns of a shape: p<j>, v<i>, k<j>, ``rule_id`` if there.
 
     The rules are the left side of the first join, so that only facts of their predicates take part.
     """
@@ -34,7 +34,7 @@ def instances(own: DataFrame, facts: DataFrame, shape: Shape, injective: bool, h
     for j in order:
         out = add_atom(out, facts, shape, j, injective)
     if not head:
-        out = out.withColumns({c: F.col(f"_r{c}") for c in keys(shape) if c in ("p0", "k0")})
+        out = out.withColumns({c: F.col(f"_r{c}") for c in keys(shape) if f"_r{c}" in out.columns and c in ("p0", "k0")})
     return out.drop(*[c for c in out.columns if c.startswith("_r")])
 
 
@@ -62,13 +62,20 @@ def predicted_pairs(rules: DataFrame, facts: DataFrame, injective: bool = False)
     """
     out = None
     for shape, own in by_shape(rules):
-        found = instances(own, facts, shape, injective)
+        body = [c for c in keys(shape) if c not in ("p0", "k0")]
+        everything = injective and CONST in shape[0]  # a variable of the body may then take the head's constant
+        values = sorted({f"v{x}" for atom in (shape if everything else shape[:1]) for x in atom if x != CONST})
+        found = instances(own.select(*body).distinct(), facts, shape, injective).select(*body, *values).distinct()
+        found = found.join(broadcast_if_small(own, 100_000), body)
         if injective:
+            known = set(found.columns) | {f"v{CONST}"}
             for j in range(1, len(shape)):
-                found = found.where((F.col(f"p{j}") != F.col("p0")) | (side(shape, j, 0) != side(shape, 0, 0)) | (side(shape, j, 1) != side(shape, 0, 1)))
+                if {f"v{x}" for x in shape[j]} <= known:
+                    found = found.where(differs_from_head(shape, j))
             if CONST not in shape[0]:
                 found = found.where(side(shape, 0, 0) != side(shape, 0, 1))
-        pairs = found.select("rule_id", side(shape, 0, 0).alias("s"), F.col("p0").alias("p"), side(shape, 0, 1).alias("o")).distinct()
+        pairs = found.select("rule_id", side(shape, 0, 0).alias("s"), F.col("p0").alias("p"), side(shape, 0, 1).alias("o"))
+        pairs = pairs.distinct() if everything else pairs
         out = pairs if out is None else out.unionByName(pairs)
     if out is None:
         return rules.sparkSession.createDataFrame([], "rule_id long, s long, p long, o long")

@@ -105,7 +105,7 @@ ORACLE["rules_len2_constants"] = f"""WITH {FACTS_SQL}, z AS (SELECT p, count(*)
 SELECT '?0 ' || hp || ' #' || hc || ';?0 ' || bp || ' #' || bc || ';' AS canon, support, n AS head_size, round(support / n, 6) AS head_coverage FROM r JOIN z ON z.p = hp
 WHERE support >= ceil(round(n * 0.05, 6))"""
 
-_TASK = MiningTask(min_head_coverage=_HC, min_head_size=50, without_predicates=(IS_OF_CLASS,))
+_TASK = MiningTask(min_head_coverage=0.05, min_head_size=50, without_predicates=(IS_OF_CLASS,))
 
 
 def _confident(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +128,7 @@ for _x, _y in (("s", "o"), ("o", "s")):
     _f = "'?0 ' || b1.p || ' ?1;'" if _x == "s" else "'?1 ' || b1.p || ' ?0;'"
     _BODIES.append(f"SELECT DISTINCT q.canon, q.hp, b1.{_x} AS a, b1.{_y} AS b FROM facts b1 JOIN q ON q.canon = '?0 ' || q.hp || ' ?1;' || {_f}")
 _CONF = f"""WITH {FACTS_SQL.replace("FROM cq)", f"FROM cq WHERE p <> {IS_OF_CLASS})")}, {_Z}, r AS ({_three(False)}),
-q AS MATERIALIZED (SELECT canon, hp, support FROM (SELECT canon, any_value(hp) AS hp, any_value(support) AS support FROM r GROUP BY canon) JOIN z ON z.p = hp WHERE support >= greatest(1, ceil(round(n * {_HC}, 6)))),
+q AS MATERIALIZED (SELECT canon, hp, support FROM (SELECT canon, any_value(hp) AS hp, any_value(support) AS support FROM r GROUP BY canon) JOIN z ON z.p = hp WHERE support >= greatest(1, ceil(round(n * 0.05, 6)))),
 card AS (SELECT p, count(*) AS size, count(DISTINCT s) AS dom, count(DISTINCT o) AS ran FROM facts GROUP BY p),
 side AS (SELECT *, dom >= ran AS by_s, floor(size / (CASE WHEN dom >= ran THEN dom ELSE ran END) + 0.5) AS av FROM card),
 bp AS MATERIALIZED ({" UNION ".join(_BODIES)}),
