@@ -236,7 +236,7 @@ _TRUTH = "tr AS (SELECT DISTINCT p, fixed_side, fixed_value, a AS candidate FROM
 @query(
     "completeness_metrics",
     f"""WITH {FACTS_SQL}, {_T}, {_TRUTH}, n AS (SELECT (SELECT count(*) FROM t JOIN tr USING (p, fixed_side, fixed_value, candidate)) AS tp, (SELECT count(*) FROM t) AS c, (SELECT count(*) FROM tr) AS a)
-SELECT tp, c - tp AS fp, a - tp AS fn, round(tp / c, 6) AS precision, round(tp / a, 6) AS recall, round(2 * (tp / c) * (tp / a) / (tp / c + tp / a), 6) AS f_measure, round(tp / (c + a - tp), 6) AS accuracy FROM n""",
+SELECT tp, c - tp AS fp, a - tp AS fn, round(tp / c, 6) AS precision, round(tp / a, 6) AS recall, CASE WHEN tp = 0 THEN 0.0 ELSE round(2 * (tp / c) * (tp / a) / (tp / c + tp / a), 6) END AS f_measure, round(tp / (c + a - tp), 6) AS accuracy FROM n""",
 )
 def _(spark, d):
     t, f = _tasks(spark, d), facts(spark, d)
