@@ -162,8 +162,8 @@ def top_rules(rules: DataFrame, k: int, overflow: bool = False) -> DataFrame:
 
 
 def _neighbours(facts: DataFrame, sizes: DataFrame, task: MiningTask) -> DataFrame:
-    """(``p0``, ``hv``, ``pn``, ``sn``): head predicate and place, body predicate and place, where enough head triples
-    have a value that the body predicate has too. Longer rules can't support more."""
+    """(``p0``, ``pn``, ``met``): bit 2 a + b of ``met`` is set if enough triples of the head predicate ``p0`` have at place a (0 subject,
+    1 object) a value that the body predicate ``pn`` has at place b. Rules with that link can't support more."""
     ends = [facts.select("p", F.lit(k).alias("sn"), F.col(c).alias("v")).distinct() for k, c in ((0, "s"), (1, "o"))]
     ends = ends[0].unionByName(ends[1]).withColumnRenamed("p", "pn")
     parts = []
@@ -171,7 +171,8 @@ def _neighbours(facts: DataFrame, sizes: DataFrame, task: MiningTask) -> DataFra
         values = facts.groupBy(F.col("p").alias("p0"), F.col(c).alias("v")).agg(F.count("*").alias("n"))
         parts.append(values.select("p0", F.lit(k).alias("hv"), "v", "n"))
     n = parts[0].unionByName(parts[1]).join(sizes, "p0").join(ends, "v").groupBy("p0", "hv", "pn", "sn").agg(F.sum("n").alias("n"), F.first("head_size").alias("head_size"))
-    return broadcast_if_small(cut(n.where(F.col("n") >= _least(task)).select("p0", "hv", "pn", "sn"), "neighbours"))
+    met = n.where(F.col("n") >= _least(task)).groupBy("p0", "pn").agg(F.sum(F.expr("shiftleft(1, 2 * hv + sn)")).cast("int").alias("met"))
+    return broadcast_if_small(cut(met, "neighbours"))
 
 
 def _of_shape(facts: DataFrame, source: DataFrame, shape: Shape, sizes: DataFrame, near: DataFrame, lower: DataFrame | None, task: MiningTask) -> DataFrame:
@@ -181,10 +182,9 @@ def _of_shape(facts: DataFrame, source: DataFrame, shape: Shape, sizes: DataFram
     head_vars = {x: k for k, x in enumerate(shape[0]) if x != CONST}
     for j in body_order(shape, set(head_vars)):
         df = add_atom(df, facts, shape, j, task.injective)
-        for place, x in enumerate(shape[j]):
-            if x in head_vars:
-                ok = near.where((F.col("hv") == head_vars[x]) & (F.col("sn") == place)).select("p0", F.col("pn").alias(f"p{j}"))
-                df = df.join(ok, ["p0", f"p{j}"], "left_semi")
+        mask = sum(1 << (2 * head_vars[x] + place) for place, x in enumerate(shape[j]) if x in head_vars)
+        if mask:
+            df = df.join(near.withColumnRenamed("pn", f"p{j}"), ["p0", f"p{j}"]).where(F.col("met").bitwiseAND(mask) == mask).drop("met")
         if CONST in shape[j]:
             df = _constants_allowed(df, task, f"p{j}", shape[j].index(CONST), False, lower)
         if task.without_duplicate_predicates:
