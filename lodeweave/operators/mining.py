@@ -180,6 +180,7 @@ def _of_shape(facts: DataFrame, source: DataFrame, shape: Shape, sizes: DataFram
     if CONST in shape[0]:
         df = _constants_allowed(df, task, "p0", shape[0].index(CONST), True, lower)
     head_vars = {x: k for k, x in enumerate(shape[0]) if x != CONST}
+    before = [0]
     for j in body_order(shape, set(head_vars)):
         df = add_atom(df, facts, shape, j, task.injective)
         mask = sum(1 << (2 * head_vars[x] + place) for place, x in enumerate(shape[j]) if x in head_vars)
@@ -187,18 +188,16 @@ def _of_shape(facts: DataFrame, source: DataFrame, shape: Shape, sizes: DataFram
             df = df.join(near.withColumnRenamed("pn", f"p{j}"), ["p0", f"p{j}"]).where(F.col("met").bitwiseAND(mask) == mask).drop("met")
         if CONST in shape[j]:
             df = _constants_allowed(df, task, f"p{j}", shape[j].index(CONST), False, lower)
-        if task.without_duplicate_predicates:
-            for i in range(j):
-                if f"p{i}" in df.columns:
-                    df = df.where(F.col(f"p{i}") != F.col(f"p{j}"))
-        for family in task.families:
-            for i in range(j):
-                if f"p{i}" in df.columns:
-                    df = df.where(~(F.col(f"p{i}").isin(list(family)) & F.col(f"p{j}").isin(list(family)) & (F.col(f"p{i}") != F.col(f"p{j}"))))
+        for i in before:
+            if task.without_duplicate_predicates:
+                df = df.where(F.col(f"p{i}") != F.col(f"p{j}"))
+            for family in task.families:
+                df = df.where(~(F.col(f"p{i}").isin(list(family)) & F.col(f"p{j}").isin(list(family)) & (F.col(f"p{i}") != F.col(f"p{j}"))))
+        before.append(j)
         if task.injective:
             df = df.where(differs_from_head(shape, j))
-    for cond in distinct_atoms(shape):
-        df = df.where(cond)
+    if conditions := distinct_atoms(shape):
+        df = df.where(reduce(lambda a, b: a & b, conditions))
     group = keys(shape)
     pairs = df.select(*group, *head_values(shape), "head_size").distinct()
     n = pairs.groupBy(*group).agg(F.count("*").alias("support"), F.first("head_size").alias("head_size"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,16 +31,33 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: losing an executor costs no earlier stage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodeweave_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(df: DataFrame | None) -> None:
     """Delete the table behind a ``cut`` result that nothing reads any more."""
     path = getattr(df, "_lodeweave_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+@atexit.register
+def _clean() -> None:
+    """At the end of the driver nothing reads the tables written by it."""
+    for spark, path in _WRITTEN:
+        if path.startswith(("file:", "/")):
+            shutil.rmtree(re.sub("^file:/+", "/", path), ignore_errors=True)
+        else:
+            try:
+                _delete(spark, path)
+            except Exception:  # the session has ended: the folder's owner cleans up
+                return

@@ -70,36 +70,35 @@ def body_order(shape: Shape, bound: set[int]) -> list[int]:
     return out
 
 
-def _atom_columns(facts: DataFrame, j: int) -> DataFrame:
-    return facts.select(F.col("p").alias(f"p{j}"), F.col("s").alias(f"_s{j}"), F.col("o").alias(f"_o{j}"))
-
-
 def add_atom(df: DataFrame | None, facts: DataFrame, shape: Shape, j: int, injective: bool) -> DataFrame:
     """``df`` joined with the facts of atom ``j``: columns p<j>, v<variable>, k<j> for a constant.
 
     Where ``df`` has rule columns (_rp<j>, _rk<j>) the atom's predicate and constant are those of the rule.
     """
-    right = _atom_columns(facts, j)
-    items = {f"_s{j}": shape[j][0], f"_o{j}": shape[j][1]}
+    items = {"s": shape[j][0], "o": shape[j][1]}
     have = set(df.columns) if df is not None else set()
-    on: list[Column] = [F.col(c) == F.col(f"v{x}") for c, x in items.items() if x != CONST and f"v{x}" in have]
-    if f"_rp{j}" in have:
-        on += [F.col(f"p{j}") == F.col(f"_rp{j}")] + [F.col(c) == F.col(f"_rk{j}") for c, x in items.items() if x == CONST]
-    fresh = {c: f"k{j}" if x == CONST else f"v{x}" for c, x in items.items() if x == CONST or f"v{x}" not in have}
+    ruled = f"_rp{j}" in have
+    names, on = {}, [F.col(f"p{j}") == F.col(f"_rp{j}")] if ruled else []
+    for c, x in items.items():
+        name = f"k{j}" if x == CONST else f"v{x}"
+        names[c] = f"_{c}{j}" if name in have else name
+        if name in have:
+            on.append(F.col(names[c]) == F.col(name))
+        elif x == CONST and ruled:
+            on.append(F.col(name) == F.col(f"_rk{j}"))
+    fresh = [n for n in names.values() if n.startswith("v")]
     if injective:
-        bound = [c for c in have if c.startswith("v")]
-        for c, name in fresh.items():
-            if name.startswith("v"):
-                on += [F.col(c) != F.col(v) for v in bound]
-        if len([n for n in fresh.values() if n.startswith("v")]) == 2:
-            right = right.where(F.col(f"_s{j}") != F.col(f"_o{j}"))
+        on += [F.col(n) != F.col(v) for n in fresh for v in sorted(have) if v.startswith("v")]
+    right = facts.select(F.col("p").alias(f"p{j}"), F.col("s").alias(names["s"]), F.col("o").alias(names["o"]))
+    if injective and len(fresh) == 2:
+        right = right.where(F.col(fresh[0]) != F.col(fresh[1]))
     if df is None:
-        out = right
-    else:
-        out = df.join(right, [*on], "inner") if on else df.crossJoin(right)
-    for c in items:
-        out = out.withColumnRenamed(c, fresh[c]) if c in fresh else out.drop(c)
-    return out
+        return right
+    if not any(n.startswith("_") for n in names.values()) and not ruled:
+        raise ValueError("atoms of a rule must be connected")
+    known = [n for n in names.values() if n.startswith("_")]
+    out = df.join(right, on, "inner")
+    return out.drop(*known) if known else out
 
 
 def side(shape: Shape, j: int, k: int) -> Column:
