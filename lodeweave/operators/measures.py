@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,34 +83,93 @@ def predicted_pairs(rules: DataFrame, facts: DataFrame, injective: bool = False)
     return out
 
 
-def with_confidences(rules: DataFrame, facts: DataFrame, injective: bool = False, pairs: DataFrame | None = None) -> DataFrame:
-    """Rules with ``body_size``, ``cwa_confidence``, ``pca_body_size``, ``pca_confidence``, ``qpca_body_size``
-    and ``qpca_confidence``.
+def is_hop(shape: Shape) -> bool:
+    """Whether the body leads from one head variable to the other through one further variable."""
+    return len(shape) == 3 and shape[0] == (0, 1) and {frozenset(a) for a in shape[1:]} == {frozenset((0, 2)), frozenset((1, 2))}
 
-    PCA counts the pairs whose value at the head predicate's higher-cardinality side occurs there; if that side is a
-    constant, all. QPCA counts each known pair, and of the unknown pairs of a value those beyond the average
-    number that the value lacks.
-    """
-    pairs = cut(predicted_pairs(rules, facts, injective), "pairs") if pairs is None else pairs
-    cards = cut(property_cardinalities(facts), "cards")
-    sides = broadcast_if_small(cards.select("p", "higher_side", "average"))
+
+def _signatures(facts: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """For the subjects and the objects of each predicate: groups of values with equal sets of partners (``p``, ``rep``, ``w``
+    values, ``zs``), and the group ``rep`` of each value (``p``, ``v``)."""
+    out = {}
+    for c, z in (("s", "o"), ("o", "s")):
+        sets = cut(facts.groupBy("p", F.col(c).alias("v")).agg(F.array_sort(F.collect_list(z)).alias("zs")), "partners")
+        groups = cut(sets.groupBy("p", "zs").agg(F.min("v").alias("rep"), F.count("*").alias("w")), "groups")
+        out[c] = groups, cut(sets.join(groups.drop("w"), ["p", "zs"]).select("p", "v", "rep"), "members")
+    return out
+
+
+def _hop_counts(own: DataFrame, facts: DataFrame, shape: Shape, sides: DataFrame, values: DataFrame, groups: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """The sums of ``_pair_counts`` for rules of a hop shape without listing their pairs: values with equal partners meet the
+    same values, so pairs of groups stand for all pairs of their members."""
+    i, j = (1, 2) if 0 in shape[1] else (2, 1)
+    (a_groups, a_members), (b_groups, b_members) = (groups["s" if shape[n].index(x) == 0 else "o"] for n, x in ((i, 0), (j, 1)))
+    rules = own.select("rule_id", F.col("p0").alias("p"), F.col(f"p{i}").alias("pa"), F.col(f"p{j}").alias("pb")).join(sides, "p")
+    rules = broadcast_if_small(cut(rules, "hops"), 100_000)
+    bodies = F.broadcast(rules.select("pa", "pb").distinct())
+    end = lambda g, n: g.select(F.col("p").alias(f"p{n}"), F.col("rep").alias(f"r{n}"), F.col("w").alias(f"w{n}"), F.explode("zs").alias("z"))
+    met = end(a_groups, "a").join(bodies, "pa").join(end(b_groups, "b"), ["pb", "z"]).select("pa", "pb", "ra", "wa", "rb", "wb").distinct()
+    met = cut(met, "met-groups")
+    ends = (("subject", "a", "b", a_members), ("object", "b", "a", b_members))
+    sized = [met.groupBy("pa", "pb", F.col(f"r{x}").alias("rep"), F.col(f"w{x}").alias("w")).agg(F.sum(f"w{y}").alias("n")).withColumn("higher_side", F.lit(name)) for name, x, y, _ in ends]
+    sized = cut(sized[0].unionByName(sized[1]), "group-sizes")
+    beyond = F.greatest(F.lit(0), F.col("n") - F.greatest(F.lit(0), F.col("average")))
+    base = sized.join(rules, ["pa", "pb", "higher_side"]).groupBy("rule_id").agg(F.sum(F.col("n") * F.col("w")).alias("body_size"), F.sum(F.col("w") * beyond).alias("_unseen"))
+    v = F.when(F.col("higher_side") == "subject", F.col("s")).otherwise(F.col("o"))
+    group_of = lambda m, n, c: m.select(F.col("p").alias(f"p{n}"), F.col("v").alias(c), F.col("rep").alias(f"r{n}"))
+    known = facts.select("p", "s", "o").join(rules, "p").join(group_of(a_members, "a", "s"), ["pa", "s"]).join(group_of(b_members, "b", "o"), ["pb", "o"])
+    known = known.join(met.select("pa", "pb", "ra", "rb"), ["pa", "pb", "ra", "rb"]).groupBy("rule_id", v.alias("v")).agg(F.count("*").alias("pos"))
+    seen = [values.where(F.col("higher_side") == name).join(rules, ["p", "higher_side"]).join(group_of(m, x, "v").withColumnRenamed(f"r{x}", "rep"), [f"p{x}", "v"]).select("rule_id", "pa", "pb", "higher_side", "average", "v", "c", "rep") for name, x, _, m in ends]
+    seen = seen[0].unionByName(seen[1]).join(sized, ["pa", "pb", "higher_side", "rep"]).join(known, ["rule_id", "v"], "left")
+    pos = F.coalesce("pos", F.lit(0))
+    counted = pos + F.greatest(F.lit(0), F.col("n") - pos - F.greatest(F.lit(0), F.col("average") - F.col("c")))
+    seen = seen.groupBy("rule_id").agg(F.sum("n").alias("_pca"), F.sum(counted - beyond).alias("_more"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return base.join(seen, "rule_id", "left").select("rule_id", "body_size", zero("_pca").alias("pca_body_size"), (F.col("_unseen") + zero("_more")).alias("qpca_body_size"))
+
+
+def _pair_counts(rules: DataFrame, facts: DataFrame, pairs: DataFrame, sides: DataFrame, values: DataFrame) -> DataFrame:
+    """(``rule_id``, ``body_size``, ``pca_body_size``, ``qpca_body_size``) from the listed pairs."""
     known = facts.select("s", "p", "o", F.lit(True).alias("known"))
     heads = rules.select("rule_id", F.when(F.col("head.s.is_var"), F.lit(True)).otherwise(False).alias("_sv"), F.col("head.o.is_var").alias("_ov"))
     tagged = pairs.join(known, ["s", "p", "o"], "left").join(sides, "p").join(broadcast_if_small(heads, 100_000), "rule_id")
     v = F.when(F.col("higher_side") == "subject", F.col("s")).otherwise(F.col("o"))
     per_value = tagged.groupBy("rule_id", "p", "higher_side", "average", "_sv", "_ov", v.alias("v")).agg(F.count("*").alias("n"), F.count("known").alias("pos"))
-    counts = []
-    for name, c in (("subject", "s"), ("object", "o")):
-        counts.append(facts.groupBy("p", F.col(c).alias("v")).agg(F.count("*").alias("c")).withColumn("higher_side", F.lit(name)))
-    per_value = per_value.join(counts[0].unionByName(counts[1]), ["p", "v", "higher_side"], "left")
+    per_value = per_value.join(values, ["p", "v", "higher_side"], "left")
     constant = ~F.when(F.col("higher_side") == "subject", F.col("_sv")).otherwise(F.col("_ov"))
     neg = F.col("n") - F.col("pos")
     free = F.greatest(F.lit(0), F.col("average") - F.coalesce("c", F.lit(0)))
-    sums = per_value.groupBy("rule_id").agg(
+    return per_value.groupBy("rule_id").agg(
         F.sum("n").alias("body_size"),
         F.sum(F.when(F.col("c").isNotNull() | constant, F.col("n")).otherwise(0)).alias("pca_body_size"),
         F.sum(F.col("pos") + F.greatest(F.lit(0), neg - free)).alias("qpca_body_size"),
     )
+
+
+def with_confidences(rules: DataFrame, facts: DataFrame, injective: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    """Rules with ``body_size``, ``cwa_confidence``, ``pca_body_size``, ``pca_confidence``, ``qpca_body_size``
+    and ``qpca_confidence``.
+
+    PCA counts the pairs whose value at the head predicate's higher-cardinality side occurs there; if that side is a
+    constant, all. QPCA counts each known pair, and of the unknown pairs of a value those beyond the average
+    number that the value lacks. Pairs of two-hop bodies are counted by groups of values, unless injective or given.
+    """
+    cards = cut(property_cardinalities(facts), "cards")
+    sides = broadcast_if_small(cards.select("p", "higher_side", "average"))
+    values = [facts.groupBy("p", F.col(c).alias("v")).agg(F.count("*").alias("c")).withColumn("higher_side", F.lit(name)) for name, c in (("subject", "s"), ("object", "o"))]
+    values = values[0].unionByName(values[1])
+    listed, sums, groups = rules, None, None
+    if pairs is None and not injective:
+        hops = []
+        for shape, own in by_shape(rules):
+            if is_hop(shape):
+                groups = groups or _signatures(facts)
+                hops.append(cut(_hop_counts(own, facts, shape, sides, values, groups), "hop-counts"))
+        sums = reduce(lambda a, b: a.unionByName(b), hops) if hops else None
+        listed = rules.join(sums.select("rule_id"), "rule_id", "left_anti") if hops else rules
+    pairs = cut(predicted_pairs(listed, facts, injective), "pairs") if pairs is None else pairs
+    counted = _pair_counts(listed, facts, pairs, sides, values)
+    sums = counted if sums is None else counted.unionByName(sums)
     base = rules.drop("body_size", "cwa_confidence", "pca_body_size", "pca_confidence", "qpca_body_size", "qpca_confidence")
     ratio = lambda c: F.when(F.col(c) > 0, F.col("support") / F.col(c))
     return base.join(sums, "rule_id", "left").withColumns({"cwa_confidence": ratio("body_size"), "pca_confidence": ratio("pca_body_size"), "qpca_confidence": ratio("qpca_body_size")})

@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _base(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = cut(facts(spark, d).where(F.col("p").isin(list(_SMALL))), "small-facts")
+    f = facts(spark, d)
     rules = mine(f, MiningTask(min_head_coverage=0.01)).where(~F.col("canon").rlike(_SAME_PAIR))
     return f, cut(with_confidences(rules, f), "rules")
 
@@ -89,9 +89,7 @@ def _(spark, d):
 
 @query("predict_classes", _RULES[:-2] + " SELECT canon, result, count(*) AS n FROM cls GROUP BY ALL")
 def _(spark, d):
-    f, rules = _base(spark, d)
-    out = P.predict(rules, f, injective=False).join(rules.select("rule_id", "canon"), "rule_id")
-    return out.groupBy("canon", "result").agg(F.count("*").alias("n"))
+    return P.class_counts(_base(spark, d)[1])
 
 
 @query("predict_distinct", _RULES[:-2] + " SELECT p, result, count(*) AS n FROM (SELECT DISTINCT s, p, o, result FROM cls) GROUP BY ALL")
@@ -248,7 +246,7 @@ def _(spark, d):
 @query("tasks_from_predictions")
 def _(spark, d):
     f, g = _grouped(spark, d, top_rules=3, non_redundant=True)
-    wanted = T.test_tasks(f.where(F.col("p") == LOCATED_AT), "subject")
+    wanted = T.test_tasks(f, "subject")
     return T.prediction_tasks(g, "subject", wanted, 3).groupBy("p", "rank").agg(F.count("*").alias("n"))
 
 
