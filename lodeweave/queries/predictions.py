@@ -130,7 +130,7 @@ for _name, _prune in (("prune_maximal", R.prune_maximal), ("prune_closed", lambd
     @query(_name)
     def _(spark, d, prune=_prune):
         f = facts(spark, d)
-        return prune(cut(mine(f, MiningTask(min_head_coverage=0.05, constants="object", max_length=2, without_predicates=(104, 108))), "rules")).select("canon", "support")
+        return prune(cut(mine(f, MiningTask(min_head_coverage=0.05, constants="object", max_length=3)), "rules")).select("canon", "support")
 
 
 @query("dbscan_clusters")

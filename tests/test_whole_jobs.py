@@ -45,3 +45,17 @@ def test_predictions_take_all_predicates(spark, on_hub):
 def test_tasks_of_all_predicates(spark, on_hub):
     got = {r["p"] for r in predictions.QUERIES["tasks_from_predictions"](spark, "").collect()}
     assert {NEAR, OWNER} <= got
+
+
+@pytest.mark.parametrize("name", ["prune_maximal", "prune_closed", "prune_skyline"])
+def test_pruning_meets_sub_rules(spark, monkeypatch, name):
+    rows = {(s, p, s + 1000) for p in (104, 108, 7) for s in range(100)}
+    monkeypatch.setattr(predictions, "facts", lambda spark, d: spark.createDataFrame(sorted(rows), SPO))
+    heads = {104: (7, 108), 108: (7, 104), 7: (104, 108)}
+    short = {f"?0 {h} ?1;?0 {b} ?1;" for h, bs in heads.items() for b in bs}
+    long = {f"?0 {h} ?1;" + "".join(sorted(f"?0 {b} ?1;" for b in bs)) for h, bs in heads.items()}
+    got = {r["canon"] for r in predictions.QUERIES[name](spark, "").collect()}
+    if name == "prune_maximal":
+        assert long <= got and not short & got
+    else:
+        assert short <= got and not long & got
