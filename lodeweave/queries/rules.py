@@ -105,11 +105,11 @@ ORACLE["rules_len2_constants"] = f"""WITH {FACTS_SQL}, z AS (SELECT p, count(*)
 SELECT '?0 ' || hp || ' #' || hc || ';?0 ' || bp || ' #' || bc || ';' AS canon, support, n AS head_size, round(support / n, 6) AS head_coverage FROM r JOIN z ON z.p = hp
 WHERE support >= ceil(round(n * 0.05, 6))"""
 
-_TASK = MiningTask(min_head_coverage=0.05, min_head_size=50, without_predicates=(IS_OF_CLASS,))
+_TASK = MiningTask(min_head_coverage=0.05, min_head_size=50)
 
 
 def _confident(spark: SparkSession, d: str) -> DataFrame:
-    f = facts(spark, d).where(F.col("p") != IS_OF_CLASS)
+    f = facts(spark, d)
     return with_confidences(mine(f, _TASK), f)
 
 

@@ -4,7 +4,7 @@ import pytest
 
 from lodeweave.operators.measures import predicted_pairs, with_confidences
 from lodeweave.operators.mining import MiningTask, mine
-from lodeweave.queries import predictions
+from lodeweave.queries import predictions, rules
 
 SPO = "s long, p long, o long"
 CLASS, NEAR, OWNER = 100, 7, 114
@@ -25,11 +25,11 @@ def on_hub(monkeypatch, hub):
 
 
 def test_pairs_in_a_hub_are_counted_as_listed(hub):
-    rules = mine(hub, MiningTask(min_head_size=50)).persist()
+    mined = mine(hub, MiningTask(min_head_size=50)).persist()
     cols = ["canon", "body_size", "pca_body_size", "qpca_body_size"]
-    listed = with_confidences(rules, hub, pairs=predicted_pairs(rules, hub)).select(cols).collect()
+    listed = with_confidences(mined, hub, pairs=predicted_pairs(mined, hub)).select(cols).collect()
     assert any(r["body_size"] > 5000 for r in listed)
-    assert sorted(with_confidences(rules, hub).select(cols).collect()) == sorted(listed)
+    assert sorted(with_confidences(mined, hub).select(cols).collect()) == sorted(listed)
 
 
 def test_predictions_take_all_predicates(spark, on_hub):
@@ -59,3 +59,14 @@ def test_pruning_meets_sub_rules(spark, monkeypatch, name):
         assert long <= got and not short & got
     else:
         assert short <= got and not long & got
+
+
+def test_confidences_of_all_predicates(spark, monkeypatch, hub):
+    monkeypatch.setattr(rules, "facts", lambda spark, d: hub)
+    got = {r["canon"]: r["body_size"] for r in rules.QUERIES["cwa_confidence"](spark, "").collect()}
+    classes = {}
+    for s, p, o in hub.collect():
+        if p == CLASS:
+            classes.setdefault(s, set()).add(o)
+    want = sum(bool(a & b) for a in classes.values() for b in classes.values())
+    assert got[f"?0 {NEAR} ?1;?0 {CLASS} ?2;?1 {CLASS} ?2;"] == want
