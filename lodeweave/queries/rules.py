@@ -139,5 +139,5 @@ m AS (SELECT canon, sum(n)::BIGINT AS body_size, sum(CASE WHEN c IS NOT NULL THE
 SELECT canon, support, {{k}}body_size, CASE WHEN {{k}}body_size > 0 THEN round(support / {{k}}body_size, 6) END AS confidence FROM q JOIN m USING (canon) WHERE NOT regexp_matches(canon, ';\\?[01] [0-9]+ \\?[01];\\?[01] [0-9]+ \\?[01];')"""
 for _k in ("", "pca_", "qpca_"):
     _n = f"{_k or 'cwa_'}confidence"
-    QUERIES[_n] = lambda spark, d, k=_k: _confidence(k)(spark, d).where(~F.col("canon").rlike(r";\?[01] [0-9]+ \?[01];\?[01] [0-9]+ \?[01];"))
+    QUERIES[_n] = _confidence(_k)
     ORACLE[_n] = _CONF.format(k=_k)

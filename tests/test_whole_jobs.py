@@ -70,3 +70,13 @@ def test_confidences_of_all_predicates(spark, monkeypatch, hub):
             classes.setdefault(s, set()).add(o)
     want = sum(bool(a & b) for a in classes.values() for b in classes.values())
     assert got[f"?0 {NEAR} ?1;?0 {CLASS} ?2;?1 {CLASS} ?2;"] == want
+
+
+def test_bodies_of_two_atoms_on_one_pair(spark, monkeypatch):
+    rows = {(s, p, s + 1000) for p in (102, 106, 114) for s in range(150)}
+    for m in (predictions, rules):
+        monkeypatch.setattr(m, "facts", lambda spark, d: spark.createDataFrame(sorted(rows), SPO))
+    rule = "?0 102 ?1;?0 106 ?1;?0 114 ?1;"
+    got = {r["canon"]: tuple(r)[1:] for r in rules.QUERIES["cwa_confidence"](spark, "").collect()}
+    assert got[rule] == (150, 150, 1.0)
+    assert rule in {r["canon"] for r in predictions.QUERIES["rules_sorted"](spark, "").collect()}
