@@ -159,13 +159,36 @@ def _atom_similarity(a: Column, b: Column) -> Column:
     return F.when(a["p"] == b["p"], same).otherwise(constants("s") + constants("o"))
 
 
+#: Bodies up to this length are assigned by an expression over all permutations, longer ones by ``_best_assignment``.
+_PERMUTED = 3
+
+
+def _best_assignment(a: Column, b: Column) -> Column:
+    """The greatest sum of similarities of the atoms of the shorter body with different atoms of the longer one: atom by atom of the
+    longer, the best sum for each subset (bits of ``k``) of the shorter."""
+    n = F.least(F.size(a), F.size(b))
+    few, many = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
+    bit = lambda i: F.call_function("shiftleft", F.lit(1), i)
+    subsets = F.sequence(F.lit(0), bit(n) - 1)
+    score = lambda i, y: F.coalesce(_atom_similarity(F.get(few, i), y), F.lit(0.0))
+    with_y = lambda sums, k, y: F.array_max(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(k.bitwiseAND(bit(i)) != 0, F.get(sums, k - bit(i)) + score(i, y))))
+    none = F.transform(subsets, lambda k: F.when(k == 0, F.lit(0.0)).otherwise(F.lit(float("-inf"))))
+    sums = F.aggregate(many, none, lambda sums, y: F.transform(subsets, lambda k: F.greatest(F.get(sums, k), with_y(sums, k, y))))
+    return F.get(sums, bit(n) - 1)
+
+
+def longest_body(*tables: DataFrame) -> int:
+    """The number of body atoms of the longest rule."""
+    return max(t.agg(F.max(F.size("body"))).first()[0] or 1 for t in tables)
+
+
 def atoms_similarity(max_body: int = 2, left: str = "a", right: str = "b") -> Column:
     """Similarity of two rules (columns <left>_head, <left>_body, ...): the best assignment of body atoms plus the heads, over
     three times the shorter rule's length."""
     n, m = F.size(f"{left}_body"), F.size(f"{right}_body")
     options = []
-    for i in range(1, max_body + 1):
-        for j in range(1, max_body + 1):
+    for i in range(1, min(max_body, _PERMUTED) + 1):
+        for j in range(1, min(max_body, _PERMUTED) + 1):
             k = min(i, j)
             sums = []
             for order in permutations(range(max(i, j)), k):
@@ -174,6 +197,8 @@ def atoms_similarity(max_body: int = 2, left: str = "a", right: str = "b") -> Co
             best = F.greatest(*sums) if len(sums) > 1 else sums[0]
             options.append(((n == i) & (m == j), best))
     total = reduce(lambda c, o: c.when(*o), options[1:], F.when(*options[0]))
+    if max_body > _PERMUTED:
+        total = total.otherwise(_best_assignment(F.col(f"{left}_body"), F.col(f"{right}_body")))
     return (total + _atom_similarity(F.col(f"{left}_head"), F.col(f"{right}_head"))) / (3 * (F.least(n, m) + 1))
 
 
@@ -193,23 +218,25 @@ def combined_similarity(parts: Sequence[tuple[float, Column]]) -> Column:
     return reduce(lambda a, b: a + b, [c for _, c in parts]) / len(parts)
 
 
-def similar_pairs(rules: DataFrame, against: DataFrame, similarity: Column | None = None, max_body: int = 2, same_head: bool = False) -> DataFrame:
+def similar_pairs(rules: DataFrame, against: DataFrame, similarity: Column | None = None, max_body: int | None = None, same_head: bool = False) -> DataFrame:
     """(``rule_id``, ``other_id``, ``similarity``) of each rule of ``rules`` with each of ``against`` but itself (a given set of
-    rules against all). ``same_head``: only of equal head predicates."""
+    rules against all). ``same_head``: only of equal head predicates. ``max_body``: of the longest rule unless given."""
+    if similarity is None:
+        similarity = atoms_similarity(max_body or longest_body(rules, against))
     a = rules.select(*[F.col(c).alias(f"a_{c}") for c in rules.columns])
     b = against.select(*[F.col(c).alias(f"b_{c}") for c in against.columns])
     on = (F.col("a_rule_id") != F.col("b_rule_id")) & ((F.col("a_head.p") == F.col("b_head.p")) if same_head else F.lit(True))
-    return a.join(b, on).select(F.col("a_rule_id").alias("rule_id"), F.col("b_rule_id").alias("other_id"), (atoms_similarity(max_body) if similarity is None else similarity).alias("similarity"))
+    return a.join(b, on).select(F.col("a_rule_id").alias("rule_id"), F.col("b_rule_id").alias("other_id"), similarity.alias("similarity"))
 
 
-def find_similar(rules: DataFrame, rule_id: int, k: int, dissimilar: bool = False, max_body: int = 2) -> DataFrame:
+def find_similar(rules: DataFrame, rule_id: int, k: int, dissimilar: bool = False, max_body: int | None = None) -> DataFrame:
     """The ``k`` rules most (or least) like one rule."""
     s = similar_pairs(rules.where(F.col("rule_id") == rule_id), rules, max_body=max_body)
     order = F.asc("similarity") if dissimilar else F.desc("similarity")
     return s.orderBy(order, "other_id").limit(k)
 
 
-def cluster_rules(rules: DataFrame, min_neighbours: int = 5, min_similarity: float = 0.9, max_body: int = 2, by_head: bool = True) -> DataFrame:
+def cluster_rules(rules: DataFrame, min_neighbours: int = 5, min_similarity: float = 0.9, max_body: int | None = None, by_head: bool = True) -> DataFrame:
     """Rules with ``cluster``: density clusters in the order of ``canon`` without noise, within equal head predicates or over all.
 
     A rule starts a cluster; the rules like it that are still free join, and if there are ``min_neighbours`` of them at

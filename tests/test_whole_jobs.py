@@ -1,7 +1,10 @@
 """Queries do their whole job: no predicate or rule is left out."""
 
+from itertools import permutations
+
 import pytest
 
+from lodeweave.operators import ruleset as R
 from lodeweave.operators.measures import predicted_pairs, with_confidences
 from lodeweave.operators.mining import MiningTask, mine
 from lodeweave.queries import predictions, rules
@@ -80,3 +83,16 @@ def test_bodies_of_two_atoms_on_one_pair(spark, monkeypatch):
     got = {r["canon"]: tuple(r)[1:] for r in rules.QUERIES["cwa_confidence"](spark, "").collect()}
     assert got[rule] == (150, 150, 1.0)
     assert rule in {r["canon"] for r in predictions.QUERIES["rules_sorted"](spark, "").collect()}
+
+
+def test_similarity_of_longer_bodies(spark):
+    from tests.test_core import rule
+
+    spec = [(1, [2, 3, 4], 0.5), (1, [4, 2, 3], 0.5), (1, [2, 3, 4, 5, 6], 0.5), (1, [6, 5, 4, 3, 2], 0.5), (1, [2, 9], 0.5)]
+    long = rule(spark, spec)
+    got = {(r["rule_id"], r["other_id"]): r["similarity"] for r in R.similar_pairs(long, long).collect()}
+    for (i, (_, a, _)), (j, (_, b, _)) in permutations(enumerate(spec), 2):
+        n = min(len(a), len(b))
+        assert got[i, j] == pytest.approx((3 * len(set(a) & set(b)) + 3) / (3 * (n + 1))), (i, j)
+    clusters = {r["rule_id"]: r["cluster"] for r in R.cluster_rules(long, 2, 0.95).collect()}
+    assert clusters[0] == clusters[1] == clusters[2] == clusters[3] != clusters[4]
