@@ -83,6 +83,23 @@ def _aliases(pairs: list[tuple[AtomPattern, Column]]) -> Column:
     return out
 
 
+def _longer(pattern: RulePattern, head: list[tuple[AtomPattern, Column]], graphs: bool) -> Column:
+    """Whether the patterns fit a body of any length: nested searches for the place of each."""
+    n, size = len(pattern.body), F.size("body")
+    at = lambda k: F.get("body", k)
+    fits = lambda pairs: reduce(lambda a, b: a & b, [_atom(p, a, graphs) for p, a in pairs], F.lit(True)) & _aliases(pairs)
+    if not pattern.orderless:
+        return fits(head + [(p, at(size - n + k)) for k, p in enumerate(pattern.body)])
+
+    def place(taken: list[Column]) -> Column:
+        if len(taken) == n:
+            return fits(head + [(p, at(k)) for p, k in zip(pattern.body, taken)])
+        free = lambda k: reduce(lambda a, b: a & b, [k != x for x in taken], F.lit(True))
+        return F.exists(F.sequence(F.lit(0), size - 1), lambda k: free(k) & place([*taken, k]))
+
+    return place([])
+
+
 def matches(pattern: RulePattern, graphs: bool = False) -> Column:
     """Whether a row with ``head`` and ``body`` matches; ``graphs``: atoms have graph sets."""
     n, size = len(pattern.body), F.size("body")
@@ -95,6 +112,8 @@ def matches(pattern: RulePattern, graphs: bool = False) -> Column:
         for order in orders:
             pairs = head + [(p, F.get("body", F.lit(k))) for p, k in zip(pattern.body, order)]
             options.append((size == length) & reduce(lambda a, b: a & b, [_atom(p, a, graphs) for p, a in pairs], F.lit(True)) & _aliases(pairs))
-    if not options:
-        return F.lit(False)
+    if not pattern.exact:
+        options.append((size > max(MAX_BODY, n - 1)) & _longer(pattern, head, graphs))
+    elif n > MAX_BODY:
+        options.append((size == n) & _longer(pattern, head, graphs))
     return F.coalesce(reduce(lambda a, b: a | b, options), F.lit(False))

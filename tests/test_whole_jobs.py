@@ -7,6 +7,7 @@ import pytest
 from lodeweave.operators import ruleset as R
 from lodeweave.operators.measures import predicted_pairs, with_confidences
 from lodeweave.operators.mining import MiningTask, mine
+from lodeweave.operators.patterns import AtomPattern, Item, RulePattern, matches
 from lodeweave.queries import predictions, rules
 
 SPO = "s long, p long, o long"
@@ -96,3 +97,17 @@ def test_similarity_of_longer_bodies(spark):
         assert got[i, j] == pytest.approx((3 * len(set(a) & set(b)) + 3) / (3 * (n + 1))), (i, j)
     clusters = {r["rule_id"]: r["cluster"] for r in R.cluster_rules(long, 2, 0.95).collect()}
     assert clusters[0] == clusters[1] == clusters[2] == clusters[3] != clusters[4]
+
+
+def test_patterns_of_longer_bodies(spark):
+    from tests.test_core import rule
+
+    long = rule(spark, [(1, [2, 3, 4, 5, 6], 0.5), (1, [6, 5, 4, 3, 2, 7], 0.5), (8, [2, 3], 0.5)])
+    p = lambda x: AtomPattern(p=Item("constant", x))
+    ids = lambda **kw: [r["rule_id"] for r in long.where(matches(RulePattern(**kw))).orderBy("rule_id").collect()]
+    assert ids() == [0, 1, 2]
+    assert ids(head=p(1)) == [0, 1]
+    assert ids(body=(p(6), p(2))) == [0, 1]
+    assert ids(body=(p(2), p(2))) == []
+    assert ids(body=(p(5), p(6)), orderless=False) == [0]
+    assert ids(body=(p(6), p(5), p(4), p(3), p(2)), exact=True) == [0]
