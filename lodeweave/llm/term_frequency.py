@@ -19,8 +19,8 @@ def term_counts(quads: DataFrame, heavy: dict[int, list[int]]) -> DataFrame:
     """(``place``, ``term_id``, ``n_quads``, ``n_subjects``) of the terms in predicate (1) and object (2)
     place, and of the term 0 in place 0, which stands for all quads.
 
-    Quads become one row per place, term and subject. Rows of the terms in ``heavy`` (by place, at most a
-    fixed number) then add to counters local to the task: an aggregate over so few keys keeps one slot each and
+    Quads become one row per place, term and subject, for which all of them, heavy terms included, are shuffled.
+    Rows of the terms in ``heavy`` (by place, at most a fixed number) then add to counters local to the task: an aggregate over so few keys keeps one slot each and
     only sends the slots. The rows of all other terms are shuffled by term. Both tables are united. Which
     terms are heavy changes no result.
     """
