@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from lodeweave.operators.terms import complete_quads, resolve_ids, term_aliases
 from lodeweave.operators.tree_aggregate import predicate_figures
-from lodeweave.session import table
 
 
-def p4_key_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p4_key_figures(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     """Figures of each predicate, by term ids."""
-    quads = resolve_ids(complete_quads(spark, sf_dir), term_aliases(spark, sf_dir), ["p", "s", "o"])
-    return predicate_figures(quads, rows=table(spark, sf_dir, "quads").count())
+    return predicate_figures(resolve_ids(complete_quads(spark, sf_dir), term_aliases(spark, sf_dir), ["p", "o", "s"]), **kw)
+
+
+def p4_many_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with chunks so small that heavy keys go through several rounds at any size."""
+    return p4_key_figures(spark, sf_dir, chunk_rows=200, fan_in=3)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,4 +45,5 @@ SELECT p, CAST(sum(quads) AS BIGINT) AS n_quads, CAST(sum(subjects) AS BIGINT) A
 po AS (SELECT p, o, count(DISTINCT s) AS subjects FROM cq GROUP BY p, o)
 SELECT p, o FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY subjects DESC, o) AS rn FROM po) WHERE rn = 1""",
 }
-QUERIES = {"p4_found": p4_found, "p4_key_figures": p4_key_figures}
+ORACLE["p4_many_chunks"] = ORACLE["p4_key_figures"]
+QUERIES = {"p4_found": p4_found, "p4_key_figures": p4_key_figures, "p4_many_chunks": p4_many_chunks}

@@ -11,15 +11,16 @@ BROADCAST_ROWS = 250_000
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else unchanged (a shuffle join with
-    adaptive skew splitting). Counting stops at the limit."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    adaptive skew splitting). The count is a distributed one; for a table that ``cut`` wrote it reads the footers only."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
-def hot_values(df: DataFrame, col: str, share: int = 1000, tracked: int = 16_384) -> list:
-    """Values of ``col`` that may hold more than 1/``share`` of the rows: at most ``share`` of them.
+def hot_values(df: DataFrame, *cols: str, share: int = 1000, tracked: int = 16_384) -> dict[str, list]:
+    """For each of ``cols`` the values that may hold more than 1/``share`` of the rows: at most ``share`` of them.
 
-    A frequent-items sketch over all rows, merged across partitions. The counts are only used to choose
+    Frequent-items sketches in one pass over all rows, merged across partitions. The counts are only used to choose
     a path for a value, never as results.
     """
-    row = df.agg(F.count(col).alias("n"), F.expr(f"approx_top_k(`{col}`, {share}, {tracked})").alias("top")).first()
-    return [x["item"] for x in row["top"] or [] if x["item"] is not None and x["count"] * share > row["n"]]
+    sketches = [F.struct(F.count(c).alias("n"), F.expr(f"approx_top_k(`{c}`, {share}, {tracked})").alias("top")).alias(c) for c in cols]
+    row = df.agg(*sketches).first()
+    return {c: [x["item"] for x in row[c]["top"] or [] if x["item"] is not None and x["count"] * share > row[c]["n"]] for c in cols}

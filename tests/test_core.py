@@ -245,8 +245,8 @@ def test_predicate_figures_at_any_chunk_size(spark, rows):
         best = min(by, key=lambda o: (-by[o], o))
         want.append((p, len(own), len(set(own)), len(by), best, by[best]))
     for chunk, fan in ((1_000_000, 32), (50, 2), (7, 3)):
-        assert rows(predicate_figures(quads, 800, chunk, fan)) == sorted(want, key=repr)
-    assert predicate_figures(quads.limit(0), 0).count() == 0
+        assert rows(predicate_figures(quads, chunk, fan)) == sorted(want, key=repr)
+    assert predicate_figures(quads.limit(0)).count() == 0
 
 
 def test_positions_and_limits(spark, rows):
