@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lodeweave.operators.skewed_keys import TERM_SQL
 from lodeweave.operators.terms import complete_quads, dictionary, resolve_ids, term_aliases
-from lodeweave.plans.sizing import broadcast_if_small
 
 ALPHA = 0.01
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -58,11 +57,12 @@ def percentiles(counts: DataFrame, keys: list[str], quantiles: tuple[float, ...]
 def numeric_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(``p``, ``batch_day``, ``num``, ``n``) of complete quads with a finite number, ``p`` as term id.
 
-    Quads are first counted by predicate, day and object, so that no object is hot in the join.
+    Quads are first counted by predicate, day and object, so that no object is hot in the join with the dictionary, which
+    grows with the data and is shuffled like them.
     """
     quads = complete_quads(spark, sf_dir, "batch_day").groupBy("p", "batch_day", "o").agg(F.count("*").alias("n"))
     numbers = dictionary(spark, sf_dir).where("kind = 'number' and num is not null and not isnan(num) and abs(num) < double('infinity')").select(F.col("id").alias("o"), "num")
-    joined = quads.join(broadcast_if_small(numbers), "o").select("p", "batch_day", "num", "n")
+    joined = quads.join(numbers.hint("merge"), "o").select("p", "batch_day", "num", "n")
     return resolve_ids(joined, term_aliases(spark, sf_dir), ["p"])
 
 

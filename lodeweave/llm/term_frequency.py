@@ -15,21 +15,30 @@ COMMON_ABOVE = 0.05
 _ALL, _PREDICATE, _OBJECT = 0, 1, 2
 
 
-def term_counts(quads: DataFrame, heavy: dict[int, list[int]]) -> DataFrame:
+def _tall(quads: DataFrame) -> DataFrame:
+    """One row per place, term and quad; place 0 stands for all quads."""
+    places = ((_ALL, F.lit(0).cast("long")), (_PREDICATE, F.col("p")), (_OBJECT, F.col("o")))
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("place"), c.alias("term_id")) for k, c in places]))
+    return quads.select("s", cells.alias("t")).select("t.place", "t.term_id", "s").where("term_id is not null")  # also what lets both tables below read one shuffle
+
+
+def term_counts(quads: DataFrame, heavy: dict[int, list[int]], hot_subjects: list[int] = []) -> DataFrame:
     """(``place``, ``term_id``, ``n_quads``, ``n_subjects``) of the terms in predicate (1) and object (2)
     place, and of the term 0 in place 0, which stands for all quads.
 
-    Quads become one row per place, term and subject, for which all of them, heavy terms included, are shuffled.
-    Rows of the terms in ``heavy`` (by place, at most a fixed number) then add to counters local to the task: an aggregate over so few keys keeps one slot each and
-    only sends the slots. The rows of all other terms are shuffled by term. Both tables are united. Which
-    terms are heavy changes no result.
+    Distinct subjects are exact because the quads of a subject meet once, before any counting: one shuffle of the quads by
+    subject, in which no term decides where a row goes. From there the rows of the terms in ``heavy`` (by place, at most a
+    fixed number) are counted where they are, in counters local to the task, and are not shuffled: a task sends one counter of each term. The rows of all other terms
+    are shuffled by term, as partial counts. Both tables are united. The quads of ``hot_subjects``, which one task should not
+    hold, are spread by term instead. Neither list changes a result.
     """
     spark = quads.sparkSession
-    tall = quads.select(
-        "s",
-        F.explode(F.array(*[F.struct(F.lit(k).alias("place"), c.alias("term_id")) for k, c in ((_ALL, F.lit(0).cast("long")), (_PREDICATE, F.col("p")), (_OBJECT, F.col("o")))])).alias("t"),
-    ).select("t.place", "t.term_id", "s").where("term_id is not null")  # also what lets both tables below read one shuffle
-    per_subject = tall.groupBy("place", "term_id", "s").agg(F.count("*").alias("n"))
+    by_subject = lambda q, *first: q.groupBy(*first, *[c for c in ("place", "term_id", "s") if c not in first]).agg(F.count("*").alias("n")).select("place", "term_id", "s", "n")
+    if hot_subjects:
+        is_hot = F.col("s").isin(sorted(set(hot_subjects)))
+        per_subject = by_subject(_tall(quads.where(~is_hot).repartition("s")), "s").unionByName(by_subject(_tall(quads.where(is_hot))))
+    else:
+        per_subject = by_subject(_tall(quads.repartition("s")), "s")
     slots = [(_ALL, 0)] + [(place, t) for place, terms in heavy.items() for t in sorted(set(terms))]
     slots = spark.createDataFrame([(i, *x) for i, x in enumerate(slots)], "slot int, place int, term_id long")
     marked = per_subject.join(F.broadcast(slots), ["place", "term_id"], "left")
@@ -48,10 +57,11 @@ def term_frequencies(quads: DataFrame, aliases: DataFrame, rare_below: int = RAR
     replaced by term ids.
     """
     q = quads.select("s", "p", "o").where("s is not null and p is not null and o is not null")
-    raw = {_PREDICATE: hot_values(q, "p"), _OBJECT: hot_values(q, "o")}
+    raw = hot_values(q, "p", "o", "s")
     hot = sorted({x for v in raw.values() for x in v})
-    to = {r["id"]: r["term_id"] for r in aliases.where(F.col("id").isin(hot)).collect()} if hot else {}
-    counts = cut(term_counts(resolve_ids(q, aliases, ["p", "s", "o"]), {k: [to.get(x, x) for x in v] for k, v in raw.items()}), "term-counts")
+    to = {r["id"]: r["term_id"] for r in aliases.where(F.col("id").isin(hot)).collect()} if hot else {}  # at most a fixed number of hot ids
+    p, o, s = ([to.get(x, x) for x in raw[c]] for c in ("p", "o", "s"))
+    counts = cut(term_counts(resolve_ids(q, aliases, ["p", "s", "o"]), {_PREDICATE: p, _OBJECT: o}, s), "term-counts")
     total = counts.where(F.col("place") == _ALL).agg(F.max("n_subjects").alias("_total"))
     mark = F.when(F.col("n_subjects") < rare_below, "rare").when(F.col("n_subjects") > F.col("_total") * common_above, "common")
     out = counts.where(F.col("place") != _ALL).crossJoin(F.broadcast(total))  # one row

@@ -125,3 +125,19 @@ def test_percentiles_are_within_their_bound(spark):
 
 def test_percentiles_of_nothing(spark):
     assert percentiles(bucket_counts(spark.createDataFrame([], "k int, v double"), ["k"], "v"), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("hot", [[], [0], list(range(30))])
+def test_hot_subjects_change_nothing(spark, rows, hot):
+    rnd = random.Random(5)
+    data = [(rnd.choice([0] * 10 + list(range(30))), rnd.choice([1, 2]), rnd.choice([7] * 5 + list(range(20)))) for _ in range(400)]
+    quads = spark.createDataFrame(data, "s long, p long, o long")
+    want = rows(term_counts(quads, {1: [1]}), "place", "term_id", "n_quads", "n_subjects")
+    assert rows(term_counts(quads, {1: [1]}, hot), "place", "term_id", "n_quads", "n_subjects") == want
+
+
+def test_term_rows_are_shuffled_once_by_subject(spark):
+    quads = spark.createDataFrame([(1, 2, 3)], "s long, p long, o long")
+    plan = term_counts(quads, {1: [2]})._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "hashpartitioning(place" in plan
+    assert not [x for x in plan.split("\n") if "hashpartitioning(place" in x and ", s#" in x]
