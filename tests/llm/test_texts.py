@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lodeweave.llm.containers import VOCABULARY, TokenCounter, fullest, minimum_bin_slack, pack, token_counts
-from lodeweave.llm.leakage import covered_words, find_leaks
+from lodeweave.llm.leakage import build_index, covered_words, find_leaks
 from lodeweave.llm.reading_level import ReadingLevels, isotonic, reading_levels
 from lodeweave.llm.text import own_prose, plain_words, prose_words
 
@@ -65,6 +65,50 @@ def test_leaks_against_brute_force(spark, rows):
     assert find_leaks(spark.createDataFrame([], DOC), spark.createDataFrame([], ITEM)).count() == 0
 
 
+def _near(w, text, slop, run=5):
+    hit = set()
+    for i in range(len(w) - run + 1):
+        if any(all(w[i + k] in text[max(0, b + k - slop) : max(0, b + k + slop + 1)] for k in range(run)) for b in range(-slop, len(text))):
+            hit |= set(range(i, i + run))
+    return len(hit)
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_proximity_matches_against_brute_force(spark, rows, slop):
+    rnd = random.Random(9)
+    items = [(i, [f"w{rnd.randrange(9)}" for _ in range(rnd.randint(5, 14))]) for i in range(10)]
+    docs = []
+    for i in range(60):
+        w = list(rnd.choice(items)[1])
+        for _ in range(rnd.randint(0, 3)):
+            k = rnd.randrange(len(w) - 1)
+            w[k : k + 2] = rnd.choice([[w[k + 1], w[k]], [w[k], "zz", w[k + 1]], [w[k + 1]]])
+        docs.append((i, " ".join(w)))
+    index = build_index(spark.createDataFrame([(*d, 1, 2) for d in docs], DOC), shard_tokens=40)
+    found = find_leaks(spark.createDataFrame([], DOC), spark.createDataFrame([(i, " ".join(w), 1) for i, w in items], ITEM), slop=slop, index=index)
+    want = {(i, d) for i, w in items for d, t in docs if 2 * _near(w, t.split(), slop) >= len(w)}
+    assert want and set(rows(found)) == want
+
+
+def test_index_holds_every_word_once(spark):
+    docs = [(1, "a b a"), (2, None), (3, ""), (None, "x"), (4, "b " * 70)]
+    index = build_index(spark.createDataFrame([(*d, 1, 2) for d in docs], DOC).coalesce(1), shard_tokens=50).collect()
+    places = {(r["shard"], int(x)): r["term"] for r in index if r["term"] for x in np.frombuffer(r["positions"], "<i4")}
+    heads = {r["shard"]: (np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["starts"], "<i4")) for r in index if r["term"] is None}
+    texts = {}
+    for (s, x), t in sorted(places.items()):
+        ids, starts = heads[s]
+        texts.setdefault(int(ids[np.searchsorted(starts, x, "right") - 1]), []).append(t)
+    assert texts == {1: ["a", "b", "a"], 4: ["b"] * 70}
+
+
+def test_shared_openings_have_any_length(spark, rows):
+    opening = "Read " + "very " * 200 + "well. "
+    items = [(i, f"{opening}one{i} two{i} three{i} four{i} five{i} six{i}", 1) for i in range(5)]
+    docs = [(i, f"one{i} two{i} three{i} four{i} five{i} six{i}", 1, 1) for i in range(5)]
+    assert rows(find_leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM))) == [(i, i) for i in range(5)]
+
+
 def test_covered_words():
     a = np.array([1, 2, 3, 4, 5, 6, 7, 8], np.int32)
     assert covered_words(a, np.array([9, 1, 2, 3, 4, 5, 9], np.int32)) == 5
