@@ -1,14 +1,18 @@
-"""A compressed full-text index (Burrows-Wheeler transform with rank bit vectors) of evaluation lines, and
+"""A compressed full-text index (runs of the Burrows-Wheeler transform, sampled positions) of evaluation lines, and
 backward search of training lines in it: exact in predicate and object, up to some letters apart in the subject."""
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 
 _START, _SEP = "\x01", "\x02"
 _PATHS = 0xF0000  # private code points: one for each training file of a shard
 _SMALL = 4
 _AT_ONCE = 4_000
+#: Every so many-th position of the text has its line stored.
+_SAMPLED = 4
 
 
 def near(a: str, b: str, k: int) -> bool:
@@ -59,38 +63,76 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+def matched(a: str, b: str) -> int:
+    """Letters of the shorter name that the common beginning and end cover: the outer maximal matches, merged where they overlap."""
+    n = min(len(a), len(b))
+    i = next((k for k in range(n) if a[k] != b[k]), n)
+    j = next((k for k in range(n - i) if a[-1 - k] != b[-1 - k]), n - i)
+    return i + j
+
+
 class LineIndex:
-    """Lines (file number, subject, predicate, object), all different, as one searchable text."""
+    """Lines (file number, subject, predicate, object), all different, as one searchable text.
+
+    The transform is kept as its runs of equal symbols: for each symbol where its runs begin, and how often it occurs before each. Ranks are
+    found by binary search in them; lines that share files, predicates and objects have long runs. A position's line is
+    stored for every ``_SAMPLED``-th one and for the beginning of each line; others walk back to one of these.
+    """
 
     def __init__(self, lines: list[tuple[int, str, str, str]], edits: int = 2):
-        self.subjects = [s for _, s, _, _ in lines]
         self.edits = edits
+        self.subjects = [s for _, s, _, _ in lines]
         self.paths = {f: chr(_PATHS + i) for i, f in enumerate(dict.fromkeys(f for f, *_ in lines))}
         points, starts = _codes([f"{_START}{s}{_SEP}{p}{_SEP}{o}{self.paths[f]}" for f, s, p, o in lines])
         self.alphabet, codes = np.unique(points, return_inverse=True)
         sa = suffix_array(codes)
         bwt = codes[sa - 1]
-        n, sigma = len(codes), len(self.alphabet)
-        words = n // 64 + 1
-        self.bits = np.empty((sigma, words), np.uint64)
-        self.before = np.zeros((sigma, words), np.int32)
-        for c in range(sigma):
-            bits = np.zeros(words * 64, np.uint8)
-            bits[:n] = bwt == c
-            self.bits[c] = np.packbits(bits, bitorder="little").view(np.uint64)
-            self.before[c, 1:] = np.cumsum(np.bitwise_count(self.bits[c]), dtype=np.int32)[:-1]
-        self.smaller = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=sigma))))[:-1].astype(np.int32)
-        self.line_of_row = (np.searchsorted(starts, sa, "right") - 1).astype(np.int32)
-        self.size = n
-        self.letters = np.array([i for i, c in enumerate(self.alphabet) if chr(c) not in (_START, _SEP) and c < _PATHS and not chr(c).isdigit()], np.int64)
+        self.size = n = len(codes)
+        sigma = len(self.alphabet)
+        self.run_start = np.flatnonzero(np.concatenate(([True], np.diff(bwt) != 0))).astype(np.int32)
+        self.run_symbol = bwt[self.run_start].astype(np.uint16 if sigma < 65_536 else np.uint32)
+        lengths = np.diff(np.concatenate((self.run_start, [n])))
+        order = np.argsort(self.run_symbol, kind="stable")
+        self.runs = self.run_symbol[order].astype(np.int64) * (n + 1) + self.run_start[order]  # by symbol, then place
+        self.counts = np.concatenate(([0], np.cumsum(lengths[order]))).astype(np.int32)  # rows of the first column before each run
+        self.first_run = np.searchsorted(self.runs, np.arange(sigma + 1) * (n + 1))
         self.start = int(np.searchsorted(self.alphabet, ord(_START)))
+        marked = (sa % _SAMPLED == 0) | (codes[sa] == self.start)
+        self.marked = np.flatnonzero(marked).astype(np.int32)
+        self.line_of = (np.searchsorted(starts, sa[marked], "right") - 1).astype(np.int32)
+        self.letters = np.array([i for i, c in enumerate(self.alphabet) if chr(c) not in (_START, _SEP) and c < _PATHS and not chr(c).isdigit()], np.int64)
         self.is_letter = np.zeros(sigma + 1, bool)  # the last stands for symbols that the text lacks
         self.is_letter[self.letters] = True
 
+    def to_bytes(self) -> bytes:
+        return pickle.dumps(self.__dict__, 5)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> LineIndex:
+        out = cls.__new__(cls)
+        out.__dict__ = pickle.loads(data)
+        return out
+
     def _rank(self, c: np.ndarray | int, at: np.ndarray) -> np.ndarray:
-        w = at >> 6
-        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.smaller[c] + self.before[c, w] + np.bitwise_count(self.bits[c, w] & low).astype(np.int32)
+        """Row at which the suffixes that begin with ``c`` and stand behind the first ``at`` rows end."""
+        c, at = np.broadcast_arrays(c, at)
+        run = np.searchsorted(self.runs, c * (self.size + 1) + at) - 1
+        first = self.first_run[c]
+        none = run < first
+        run = np.where(none, first, run)
+        inside = np.minimum(at - (self.runs[run] - c * (self.size + 1)), self.counts[run + 1] - self.counts[run])
+        return self.counts[run] + np.where(none, 0, inside)
+
+    def lines_at(self, rows: np.ndarray) -> np.ndarray:
+        """The line of each row: back through the text, symbol by symbol, to a position whose line is stored."""
+        out, rows, left = np.empty(len(rows), np.int64), rows.astype(np.int64), np.arange(len(rows))
+        while len(left):
+            k = np.minimum(np.searchsorted(self.marked, rows), len(self.marked) - 1)
+            there = self.marked[k] == rows
+            out[left[there]] = self.line_of[k[there]]
+            rows, left = rows[~there], left[~there]
+            rows = self._rank(self.run_symbol[np.searchsorted(self.run_start, rows, "right") - 1].astype(np.int64), rows)
+        return out
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points, starts = _codes(texts)
@@ -98,7 +140,10 @@ class LineIndex:
         return np.where(self.alphabet[at] == points, at, -1), starts
 
     def search(self, files: list[int], subjects: list[str], predicates: list[str], objects: list[str]) -> list[tuple[int, int]]:
-        """(query, line) of all lines of the same file, predicate and object whose subject is near enough."""
+        """(query, line) of all lines of the same file, predicate and object whose subject is near enough.
+
+        Queries are read from their end. What all of a line must match, up to the subject, is searched without edits; from that
+        match on the search goes on through the subject and branches where letters may differ."""
         asked = [i for i, f in enumerate(files) if f in self.paths]
         if not asked:
             return []
@@ -135,7 +180,7 @@ class LineIndex:
         n = hi - lo
         rows = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
         queries.append(np.repeat(q, n))
-        lines.append(self.line_of_row[rows].astype(np.int64))
+        lines.append(self.lines_at(rows))
 
     def _branch(self, subjects: list[str], lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search through the subjects that follows every way of few enough letter edits. A range of a few lines is

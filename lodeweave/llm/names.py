@@ -12,7 +12,7 @@ _UNICODE_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\U([0-9a-fA-F]{8})|\\x([0-9a
 _ESCAPED = re.compile(r"\\(.)")
 _LITERAL_END = re.compile(r"(\")(?:@[A-Za-z-]+|\^\^\S+)$")
 _URI = re.compile(r"^[a-z][a-z0-9+.-]*://.*?([^/#]*)$", re.I | re.S)
-_PREFIX = re.compile(r"^[A-Za-z_][\w-]{0,15}:(?=\w)")
+_PREFIX = re.compile(r"^[A-Za-z_][\w-]*:(?=\w)")
 
 
 def plain_name(text: str | None) -> str:

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from lodeweave.llm.cross_split import Overlaps, _search, cross_split_pairs, overlap_counts
-from lodeweave.llm.fm_index import LineIndex, near, suffix_array
+from lodeweave.llm.fm_index import LineIndex, matched, near, suffix_array
 from lodeweave.llm.names import plain_name, plain_path
 
 LINE = "line_id long, path string, s string, p string, o string, side int"
@@ -70,19 +71,37 @@ def test_near_is_the_edit_distance_of_letters():
 
 
 def test_suffix_array():
-    import numpy as np
-
     rnd = random.Random(4)
     codes = np.array([rnd.randrange(3) for _ in range(300)])
     want = sorted(range(300), key=lambda i: list(codes[i:]))
     assert suffix_array(codes).tolist() == want
 
 
+def texts_of(lines):
+    paths = {f: chr(0xF0000 + i) for i, f in enumerate(dict.fromkeys(f for f, *_ in lines))}
+    return [f"\x01{s}\x02{p}\x02{o}{paths[f]}" for f, s, p, o in lines]
+
+
+def starts_of(lines):
+    return np.cumsum([0, *map(len, texts_of(lines))])[:-1]
+
+
+def index_order(lines):
+    text = "".join(texts_of(lines))
+    return np.array(sorted(range(len(text)), key=lambda i: text[i:]))
+
+
+def test_matched():
+    assert [matched(*x) for x in (("abc", "abc"), ("abc", "axc"), ("aba", "ababa"), ("", "a"), ("ab", "cd"))] == [3, 2, 3, 0, 0]
+
+
 def test_index_against_brute_force():
     rnd = random.Random(1)
     lines = list({(rnd.randint(1, 2), name(rnd), rnd.choice(["p", "pq"]), rnd.choice(["o", "q"])) for _ in range(700)})
     asked = [(f, changed(rnd, s), p, o) for f, s, p, o in rnd.choices(lines, k=200)] + [(9, "a", "p", "o"), (1, "zz", "p", "zz")]
-    got = set(LineIndex(lines).search(*[list(c) for c in zip(*asked)]))
+    index = LineIndex.from_bytes(LineIndex(lines).to_bytes())
+    assert index.lines_at(np.arange(index.size)).tolist() == (np.searchsorted(starts_of(lines), index_order(lines), "right") - 1).tolist()
+    got = set(index.search(*[list(c) for c in zip(*asked)]))
     want = {(i, j) for i, (f, s, p, o) in enumerate(asked) for j, (g, t, q, r) in enumerate(lines) if (f, p, o) == (g, q, r) and near(s, t, 2)}
     assert got == want
 
@@ -120,8 +139,8 @@ def test_hot_keys_are_spread_without_loss(spark, rows):
     found = Overlaps(spark.createDataFrame(data, LINE), spark.createDataFrame(SETTINGS, SETTING), shard_lines=10, stream_lines=15)
     per = {}
     for r in found.members.collect():
-        per.setdefault((r["side"], r["rep"]), []).append(r["line_id"])
-    got = {(min(x, y), max(x, y)) for r in found.pairs.collect() for x in per[0, r["rep_e"]] for y in per[1, r["rep_t"]]}
+        per.setdefault(r["rep"], []).append(r["line_id"])
+    got = {(min(x, r["line_t"]), max(x, r["line_t"])) for r in found.pairs.collect() for x in per[r["rep_e"]]}
     assert got == wanted(data)
 
 
