@@ -11,15 +11,12 @@ from lodeweave.operators import tasks as T
 from lodeweave.operators.measures import with_confidences, with_lift
 from lodeweave.operators.mining import MiningTask, mine, without_quasi_binding
 from lodeweave.plans.lineage import cut
-from lodeweave.queries.common import FACTS_SQL, HAS_OWNER, LOCATED_AT, RELATED_TO, facts
+from lodeweave.queries.common import FACTS_SQL, facts
+from lodeweave.queries.rule_sql import KNOWN, RESULT, instances, measured, rules
 from lodeweave.session import table
 
 QUERIES = {}
 ORACLE = {}
-_SMALL = (RELATED_TO, LOCATED_AT, HAS_OWNER)
-_F = FACTS_SQL.replace("FROM cq)", f"FROM cq WHERE p IN {_SMALL})")
-
-
 def query(name: str, sql: str | None = None):
     def keep(f):
         QUERIES[name] = f
@@ -36,69 +33,42 @@ def _base(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return f, cut(with_confidences(rules, f), "rules")
 
 
-def _hops() -> list[tuple[str, str, str, str, str]]:
-    """(canonical text, join, conditions) of the bodies that the SQL enumerates."""
-    out = []
-    for a in ("02", "20"):
-        for b in ("21", "12"):
-            c1, e1 = ("o", "s") if a == "02" else ("s", "o")
-            c2, e2 = ("s", "o") if b == "21" else ("o", "s")
-            f1, f2 = f"'?{a[0]} ' || b1.p || ' ?{a[1]};'", f"'?{b[0]} ' || b2.p || ' ?{b[1]};'"
-            out.append((f"least({f1} || {f2}, {f2} || {f1})", f"facts b1 JOIN facts b2 ON b1.{c1} = b2.{c2}", f"b1.{e1}", f"b2.{e2}", "two"))
-    out.append(("'?0 ' || b1.p || ' ?1;'", "facts b1", "b1.s", "b1.o", "same"))
-    out.append(("'?1 ' || b1.p || ' ?0;'", "facts b1", "b1.o", "b1.s", "turned"))
-    return out
-
-
-_BODY = " UNION ".join(f"SELECT {c} AS body, {a} AS a, {b} AS b FROM {j}" for c, j, a, b, _ in _hops())
-_RULES = f"""WITH {_F}, z AS (SELECT p, count(*) AS n FROM facts GROUP BY p HAVING count(*) >= 100),
-bodies AS MATERIALIZED (SELECT DISTINCT body, a, b FROM ({_BODY})),
-sup AS (SELECT '?0 ' || f.p || ' ?1;' || body AS canon, f.p AS hp, body, count(*) AS support FROM facts f JOIN bodies ON a = f.s AND b = f.o WHERE body <> '?0 ' || f.p || ' ?1;' GROUP BY ALL),
-q AS MATERIALIZED (SELECT canon, hp, body, support, n, support / n AS hc FROM sup JOIN z ON z.p = hp WHERE support >= greatest(1, ceil(round(n * 0.01, 6)))),
-pairs AS MATERIALIZED (SELECT q.canon, q.hp AS p, a AS s, b AS o FROM q JOIN bodies USING (body)),
-card AS (SELECT p, count(*) AS size, count(DISTINCT s) AS dom, count(DISTINCT o) AS ran FROM facts GROUP BY p),
-side AS (SELECT *, dom >= ran AS by_s, floor(size / (CASE WHEN dom >= ran THEN dom ELSE ran END) + 0.5) AS av FROM card),
-c AS (SELECT f.p, CASE WHEN by_s THEN s ELSE o END AS v, count(*) AS c FROM facts f JOIN side ON side.p = f.p GROUP BY ALL),
-cls AS MATERIALIZED (SELECT x.*, CASE WHEN f.p IS NOT NULL THEN 'Positive' WHEN c.c IS NULL THEN 'PcaPositive' ELSE 'Negative' END AS result, c.c, av, CASE WHEN by_s THEN x.s ELSE x.o END AS v
-  FROM pairs x JOIN side ON side.p = x.p LEFT JOIN facts f ON f.p = x.p AND f.s = x.s AND f.o = x.o LEFT JOIN c ON c.p = x.p AND c.v = CASE WHEN by_s THEN x.s ELSE x.o END),
-k AS (SELECT canon, v, any_value(c) AS c, any_value(av) AS av, count(*) AS n, count(*) FILTER (result = 'Positive') AS pos FROM cls GROUP BY canon, v),
-m AS (SELECT canon, sum(n) AS body_size, sum(CASE WHEN c IS NOT NULL THEN n ELSE 0 END) AS pca_body_size, sum(pos + greatest(0, n - pos - greatest(0, av - coalesce(c, 0)))) AS qpca_body_size FROM k GROUP BY canon),
-rt AS MATERIALIZED (SELECT q.*, support / body_size AS cwa, CASE WHEN pca_body_size > 0 THEN support / pca_body_size END AS pca, CASE WHEN qpca_body_size > 0 THEN support / qpca_body_size END AS qpca FROM q JOIN m USING (canon)),
-"""
-
-
-@query("rules_sorted", _RULES[:-2] + " SELECT canon, row_number() OVER (ORDER BY qpca DESC NULLS LAST, pca DESC NULLS LAST, cwa DESC NULLS LAST, hc DESC, canon) AS place FROM rt")
+_RULES = measured(100, 0.01)
+
+
+@query("rules_sorted", _RULES + " SELECT canon, row_number() OVER (ORDER BY qpca DESC NULLS LAST, pca DESC NULLS LAST, cwa DESC NULLS LAST, hc DESC, canon) AS place FROM rt")
 def _(spark, d):
     _, rules = _base(spark, d)
     return rules.select("canon", F.row_number().over(Window.orderBy(*R.default_order(rules))).cast("long").alias("place"))
 
 
-@query("lift", _RULES + """low AS (SELECT f.p, CASE WHEN dom >= ran THEN o ELSE s END AS v, count(*) AS n, any_value(size) AS size FROM facts f JOIN card ON card.p = f.p GROUP BY ALL),
+@query("lift", _RULES + """, low AS (SELECT f.p, CASE WHEN dom >= ran THEN o ELSE s END AS v, count(*) AS n, any_value(size) AS size FROM facts f JOIN card ON card.p = f.p GROUP BY ALL),
 mode AS (SELECT p, max(n) / any_value(size) AS pr FROM low GROUP BY p) SELECT canon, round(coalesce(qpca, pca, cwa) / pr, 6) AS lift FROM rt JOIN mode ON mode.p = hp""")
 def _(spark, d):
     f, rules = _base(spark, d)
     return with_lift(rules, f).select("canon", F.round("lift", 6).alias("lift"))
 
 
-@query("rules_filtered", _RULES[:-2] + " SELECT canon, support FROM rt WHERE hc BETWEEN 0.02 AND 1 AND cwa >= 0.001")
+@query("rules_filtered", _RULES + " SELECT canon, support FROM rt WHERE hc BETWEEN 0.02 AND 1 AND cwa >= 0.001")
 def _(spark, d):
     _, rules = _base(spark, d)
     return R.filter_rules(rules, {"HeadCoverage": (0.02, 1), "CwaConfidence": (0.001, 1)}).select("canon", "support")
 
 
-@query("predict_classes", _RULES[:-2] + " SELECT canon, result, count(*) AS n FROM cls GROUP BY ALL")
+@query("predict_classes", _RULES + f" SELECT canon, {RESULT} AS result, count(*) AS n FROM (SELECT id, canon, hp, a, b FROM bp JOIN q USING (bid)) x {KNOWN} GROUP BY ALL")
 def _(spark, d):
     return P.class_counts(_base(spark, d)[1])
 
 
-@query("predict_distinct", _RULES[:-2] + " SELECT p, result, count(*) AS n FROM (SELECT DISTINCT s, p, o, result FROM cls) GROUP BY ALL")
+@query("predict_distinct", _RULES + f" SELECT x.hp AS p, {RESULT} AS result, count(*) AS n FROM (SELECT DISTINCT hp, a, b FROM bp JOIN q USING (bid)) x {KNOWN} GROUP BY ALL")
 def _(spark, d):
     f, rules = _base(spark, d)
     best = P.distinct_predictions(P.with_confidence(P.predict(rules, f, injective=False), rules))
     return best.groupBy("p", "result").agg(F.count("*").alias("n"))
 
 
-_SCORED = "sc AS (SELECT s, p, o, any_value(result) AS result, {s} AS score, count(*) AS n_rules FROM cls JOIN (SELECT canon, coalesce(qpca, pca, cwa, 0) AS conf FROM rt) USING (canon) GROUP BY s, p, o)"
+#: Scores of predicted triples, then their classes.
+_SCORED = ", sc AS (SELECT hp, a, b, {s} AS score, count(*) AS n_rules FROM (SELECT bid, hp, coalesce(qpca, pca, cwa, 0) AS conf FROM rt) JOIN bp USING (bid) GROUP BY hp, a, b)"
 
 
 def _grouped(spark, d, **kw):
@@ -106,19 +76,24 @@ def _grouped(spark, d, **kw):
     return f, P.group_predictions(P.with_confidence(P.predict(rules, f, injective=False), rules), **kw)
 
 
-@query("group_maximum", _RULES + _SCORED.format(s="max(conf)") + " SELECT p, result, round(score, 6) AS score, n_rules, count(*) AS n FROM sc GROUP BY ALL")
+@query("group_maximum", _RULES + _SCORED.format(s="max(conf)") + f" SELECT x.hp AS p, {RESULT} AS result, round(score, 6) AS score, n_rules, count(*) AS n FROM sc x {KNOWN} GROUP BY ALL")
 def _(spark, d):
     _, g = _grouped(spark, d)
     return g.groupBy("p", "result", F.round("score", 6).alias("score"), F.size("rules").cast("long").alias("n_rules")).agg(F.count("*").alias("n"))
 
 
-@query("group_noisy_or", _RULES + _SCORED.format(s="1 - product(1 - conf)") + " SELECT p, result, round(score, 6) AS score, count(*) AS n FROM sc GROUP BY ALL")
+@query("group_noisy_or", _RULES + _SCORED.format(s="1 - product(1 - conf)") + f" SELECT x.hp AS p, {RESULT} AS result, round(score, 6) AS score, count(*) AS n FROM sc x {KNOWN} GROUP BY ALL")
 def _(spark, d):
     _, g = _grouped(spark, d, scorer="noisy_or")
     return g.groupBy("p", "result", F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
 
 
-@query("prune_data_coverage")
+@query(
+    "prune_data_coverage",
+    _RULES
+    + """, o AS (SELECT id, bid, hp, canon, row_number() OVER (ORDER BY qpca DESC NULLS LAST, pca DESC NULLS LAST, cwa DESC NULLS LAST, hc DESC, canon) AS place FROM rt),
+best AS (SELECT min(place) AS place FROM bp JOIN o USING (bid) JOIN facts f ON f.p = hp AND f.s = a AND f.o = b GROUP BY hp, a, b) SELECT canon FROM o WHERE place IN (SELECT place FROM best)""",
+)
 def _(spark, d):
     f, rules = _base(spark, d)
     return R.prune_data_coverage(rules, f, injective=False).select("canon")
@@ -138,7 +113,17 @@ def _(spark, d):
     return R.cluster_rules(rules, 2, 0.85).select("canon", "cluster")
 
 
-@query("rule_similarity")
+_ITEM = "CASE WHEN {a} = {b} THEN 3.0 ELSE 0.0 END"  # rules without constants: all items are variables, so that atoms of one predicate are alike
+
+
+@query(
+    "rule_similarity",
+    rules(100, 0.01)
+    + f""", w AS (SELECT x.id, CASE WHEN x.p2 IS NULL OR y.p2 IS NULL THEN greatest({_ITEM.format(a="x.p1", b="y.p1")}, {_ITEM.format(a="coalesce(x.p2, -1)", b="y.p1")}, {_ITEM.format(a="x.p1", b="coalesce(y.p2, -1)")})
+  ELSE greatest({_ITEM.format(a="x.p1", b="y.p1")} + {_ITEM.format(a="x.p2", b="y.p2")}, {_ITEM.format(a="x.p1", b="y.p2")} + {_ITEM.format(a="x.p2", b="y.p1")}) END AS body,
+  CASE WHEN x.p2 IS NULL OR y.p2 IS NULL THEN 2 ELSE 3 END AS len FROM q x JOIN q y ON x.hp = y.hp AND x.id <> y.id)
+SELECT round((body + 3) / (3 * len), 6) AS similarity, count(*) AS n FROM w GROUP BY ALL""",
+)
 def _(spark, d):
     _, rules = _base(spark, d)
     return R.similar_pairs(rules, rules, same_head=True).groupBy(F.round("similarity", 6).alias("similarity")).agg(F.count("*").alias("n"))
@@ -156,15 +141,25 @@ def _(spark, d):
     return mine(facts(spark, d), MiningTask(min_head_coverage=0.05, sample=0.5)).select("canon", "support", "support_increase_ratio")
 
 
-@query("instantiated_rules")
+@query("instantiated_rules", _RULES + f", {instances(True)} SELECT canon, result, count(*) AS n FROM (SELECT x.id, {RESULT} AS result FROM inst x {KNOWN}) JOIN q USING (id) GROUP BY ALL")
 def _(spark, d):
     f, rules = _base(spark, d)
-    return R.instantiate(rules, f).groupBy("rule_id", "result").agg(F.count("*").alias("n"))
+    counts = R.instantiate(rules, f).groupBy("rule_id", "result").agg(F.count("*").alias("n"))
+    return counts.join(rules.select("rule_id", "canon"), "rule_id").select("canon", "result", "n")
+
+
+_ATOM = "'( ?' || chr(97 + CAST(substr({x}, 1, 1) AS INT)) || ' ' || {p} || ' ?' || chr(97 + CAST(substr({x}, 2, 1) AS INT)) || ' )'"
 
 
-@query("rule_texts")
+@query(
+    "rule_texts",
+    rules(100, 0.01)
+    + f""", t AS (SELECT hp, support, head_size, x1, p1, x2, p2, x2 <> '' AND (x1, p1) > (x2, p2) AS turned FROM q)
+SELECT CASE WHEN x2 = '' THEN {_ATOM.format(x="x1", p="p1")} WHEN turned THEN {_ATOM.format(x="x2", p="p2")} || ' ^ ' || {_ATOM.format(x="x1", p="p1")} ELSE {_ATOM.format(x="x1", p="p1")} || ' ^ ' || {_ATOM.format(x="x2", p="p2")} END
+  || ' -> ( ?a ' || hp || ' ?b ) | support: ' || support || ', headSize: ' || head_size AS text FROM t""",
+)
 def _(spark, d):
-    return R.rule_text(_base(spark, d)[1])
+    return R.rule_text(_base(spark, d)[1].select("rule_id", "head", "body", "support", "head_size")).select("text")
 
 
 # Prediction tasks of the test tables: best row of each candidate, ranked by score.
@@ -242,7 +237,13 @@ def _(spark, d):
     return m.select(*[F.round(c, 6).alias(c) if dt == "double" else F.col(c) for c, dt in m.dtypes])
 
 
-@query("tasks_from_predictions")
+@query(
+    "tasks_from_predictions",
+    _RULES
+    + _SCORED.format(s="max(conf)")
+    + """, wanted AS (SELECT DISTINCT p, s FROM facts), g AS (SELECT hp AS p, a AS s, row_number() OVER (PARTITION BY hp, a ORDER BY score DESC, b) AS rank FROM sc SEMI JOIN wanted w ON w.p = hp AND w.s = a)
+SELECT p, CAST(rank AS INT) AS rank, count(*) AS n FROM wanted LEFT JOIN (FROM g WHERE rank <= 3) USING (p, s) GROUP BY ALL""",
+)
 def _(spark, d):
     f, g = _grouped(spark, d, top_rules=3, non_redundant=True)
     wanted = T.test_tasks(f, "subject")

@@ -9,6 +9,7 @@ from lodeweave.operators.measures import with_confidences, with_lift
 from lodeweave.operators.mining import MiningTask, heads, mine, without_quasi_binding
 from lodeweave.operators.patterns import AtomPattern, Item, RulePattern
 from lodeweave.queries.common import FACTS_SQL, IS_OF_CLASS, LOCATED_AT, RELATED_TO, facts
+from lodeweave.queries.rule_sql import INV2, LEN2, measured, three
 
 _HC = 0.01
 QUERIES = {}
@@ -49,56 +50,25 @@ SELECT * FROM a WHERE head_support >= greatest(1, ceil(round(head_size * 0.05, 6
 _Z = "z AS (SELECT p, count(*) AS n FROM facts GROUP BY p HAVING count(*) >= 50)"
 _TAIL = f"""SELECT canon, support, n AS head_size, round(support / n, 6) AS head_coverage FROM (SELECT canon, any_value(hp) AS hp, any_value(support) AS support FROM r GROUP BY canon) JOIN z ON z.p = hp
 WHERE support >= greatest(1, ceil(round(n * {_HC}, 6)))"""
-_LEN2 = """SELECT h.p AS hp, '?0 ' || h.p || ' ?1;?0 ' || b.p || ' ?1;' AS canon, count(*) AS support FROM facts h JOIN facts b ON h.s = b.s AND h.o = b.o AND h.p <> b.p {w} GROUP BY ALL"""
-_INV2 = """SELECT h.p AS hp, '?0 ' || h.p || ' ?1;?1 ' || b.p || ' ?0;' AS canon, count(*) AS support FROM facts h JOIN facts b ON h.s = b.o AND h.o = b.s {w} GROUP BY ALL"""
-
-
-def _three(injective: bool, only: str = "") -> str:
-    """All closed rules of up to three atoms in SQL: one select for each shape."""
-    w = "AND h.s <> h.o" if injective else ""
-    out = [_LEN2.format(w=w), _INV2.format(w=w)]
-    at = {"0": "h.s", "1": "h.o"}
-    for a in ("01", "10"):
-        for b in ("01", "10"):
-            if a > b:
-                continue
-            cond = "AND b1.p < b2.p" if a == b else ""
-            head = "AND b1.p <> h.p" if a == "01" else ""
-            head += " AND b2.p <> h.p" if b == "01" else ""
-            on = lambda n, x: f"{n}.s = {at[x[0]]} AND {n}.o = {at[x[1]]}"
-            f = lambda n, x: f"'?{x[0]} ' || {n}.p || ' ?{x[1]};'"
-            canon = f"least({f('b1', a)} || {f('b2', b)}, {f('b2', b)} || {f('b1', a)})"
-            out.append(f"SELECT h.p AS hp, '?0 ' || h.p || ' ?1;' || {canon} AS canon, count(DISTINCT (h.s, h.o)) AS support FROM facts h JOIN facts b1 ON {on('b1', a)} JOIN facts b2 ON {on('b2', b)} WHERE true {cond} {head} {w} GROUP BY ALL")
-    for a in ("02", "20"):
-        for b in ("21", "12"):
-            c1, c2 = ("b1.o", "b2.s") if (a, b) == ("02", "21") else ("b1.o", "b2.o") if a == "02" else ("b1.s", "b2.s") if b == "21" else ("b1.s", "b2.o")
-            e1, e2 = ("b1.s" if a == "02" else "b1.o"), ("b2.o" if b == "21" else "b2.s")
-            inj = f"AND h.s <> h.o AND {c1} <> h.s AND {c1} <> h.o" if injective else ""
-            f1, f2 = f"'?{a[0]} ' || b1.p || ' ?{a[1]};'", f"'?{b[0]} ' || b2.p || ' ?{b[1]};'"
-            canon = f"least({f1} || {f2}, {f2} || {f1})"
-            out.append(f"SELECT h.p AS hp, '?0 ' || h.p || ' ?1;' || {canon} AS canon, count(DISTINCT (h.s, h.o)) AS support FROM facts h JOIN facts b1 ON {e1} = h.s JOIN facts b2 ON {c2} = {c1} AND {e2} = h.o WHERE true {inj} GROUP BY ALL")
-    return " UNION ALL ".join(f"({x})" for x in out)
-
-
 def _sql(union: str, tail: str = _TAIL, facts_sql: str = FACTS_SQL) -> str:
     return f"WITH {facts_sql}, {_Z}, r AS ({union}) {tail}"
 
 
 QUERIES["rules_len2"] = _mined(max_length=2)
-ORACLE["rules_len2"] = _sql(f"({_LEN2.format(w='')}) UNION ALL ({_INV2.format(w='')})")
+ORACLE["rules_len2"] = _sql(f"({LEN2.format(w='')}) UNION ALL ({INV2.format(w='')})")
 QUERIES["rules_len3"] = _mined()
-ORACLE["rules_len3"] = _sql(_three(False))
+ORACLE["rules_len3"] = _sql(three(False))
 QUERIES["rules_injective"] = _mined(injective=True)
-ORACLE["rules_injective"] = _sql(_three(True)).replace("z AS (SELECT p, count(*) AS n FROM facts GROUP", "z AS (SELECT p, count(*) AS n FROM facts WHERE s <> o GROUP")
+ORACLE["rules_injective"] = _sql(three(True)).replace("z AS (SELECT p, count(*) AS n FROM facts GROUP", "z AS (SELECT p, count(*) AS n FROM facts WHERE s <> o GROUP")
 ONLY = (IS_OF_CLASS, RELATED_TO, LOCATED_AT)
 QUERIES["rules_only_predicates"] = _mined(only_predicates=ONLY)
-ORACLE["rules_only_predicates"] = _sql(_three(False), facts_sql=FACTS_SQL.replace("FROM cq)", f"FROM cq WHERE p IN {ONLY})"))
+ORACLE["rules_only_predicates"] = _sql(three(False), facts_sql=FACTS_SQL.replace("FROM cq)", f"FROM cq WHERE p IN {ONLY})"))
 QUERIES["rules_without_predicates"] = _mined(without_predicates=(IS_OF_CLASS,))
-ORACLE["rules_without_predicates"] = _sql(_three(False), facts_sql=FACTS_SQL.replace("FROM cq)", f"FROM cq WHERE p <> {IS_OF_CLASS})"))
+ORACLE["rules_without_predicates"] = _sql(three(False), facts_sql=FACTS_SQL.replace("FROM cq)", f"FROM cq WHERE p <> {IS_OF_CLASS})"))
 QUERIES["rules_topk"] = _mined(top_k=20)
-ORACLE["rules_topk"] = _sql(_three(False), f"SELECT * FROM ({_TAIL}) ORDER BY support / head_size DESC, canon LIMIT 20")
+ORACLE["rules_topk"] = _sql(three(False), f"SELECT * FROM ({_TAIL}) ORDER BY support / head_size DESC, canon LIMIT 20")
 QUERIES["rules_pattern"] = _mined(patterns=(RulePattern(head=AtomPattern(p=Item("constant", RELATED_TO))), RulePattern(body=(AtomPattern(p=Item("one_of", (LOCATED_AT,))),))))
-ORACLE["rules_pattern"] = _sql(_three(False), f"SELECT * FROM ({_TAIL}) WHERE canon LIKE '?0 {RELATED_TO} ?1;%' OR regexp_matches(canon, ';.. {LOCATED_AT} ..;')")
+ORACLE["rules_pattern"] = _sql(three(False), f"SELECT * FROM ({_TAIL}) WHERE canon LIKE '?0 {RELATED_TO} ?1;%' OR regexp_matches(canon, ';.. {LOCATED_AT} ..;')")
 _CONST = """SELECT h.p AS hp, h.o AS hc, b.p AS bp, b.o AS bc, count(*) AS support FROM facts h JOIN facts b ON h.s = b.s AND (h.p <> b.p OR h.o <> b.o) GROUP BY ALL"""
 QUERIES["rules_len2_constants"] = lambda spark, d: _measured(mine(facts(spark, d), MiningTask(min_head_coverage=0.05, max_length=2, constants="object"))).where("canon like '%#%'")
 ORACLE["rules_len2_constants"] = f"""WITH {FACTS_SQL}, z AS (SELECT p, count(*) AS n FROM facts GROUP BY p HAVING count(*) >= 100), r AS ({_CONST})
@@ -117,27 +87,7 @@ def _confidence(kind: str):
     return lambda spark, d: _confident(spark, d).select("canon", "support", f"{kind}body_size", F.round(f"{kind or 'cwa_'}confidence", 6).alias("confidence"))
 
 
-_BODIES = []
-for _a in ("02", "20"):
-    for _b in ("21", "12"):
-        _c1, _e1 = ("o", "s") if _a == "02" else ("s", "o")
-        _c2, _e2 = ("s", "o") if _b == "21" else ("o", "s")
-        _f1, _f2 = f"'?{_a[0]} ' || b1.p || ' ?{_a[1]};'", f"'?{_b[0]} ' || b2.p || ' ?{_b[1]};'"
-        _BODIES.append(f"SELECT DISTINCT q.canon, q.hp, b1.{_e1} AS a, b2.{_e2} AS b FROM facts b1 JOIN facts b2 ON b1.{_c1} = b2.{_c2} JOIN q ON q.canon = '?0 ' || q.hp || ' ?1;' || least({_f1} || {_f2}, {_f2} || {_f1})")
-for _x, _y in (("s", "o"), ("o", "s")):
-    _f = "'?0 ' || b1.p || ' ?1;'" if _x == "s" else "'?1 ' || b1.p || ' ?0;'"
-    _BODIES.append(f"SELECT DISTINCT q.canon, q.hp, b1.{_x} AS a, b1.{_y} AS b FROM facts b1 JOIN q ON q.canon = '?0 ' || q.hp || ' ?1;' || {_f}")
-_CONF = f"""WITH {FACTS_SQL.replace("FROM cq)", f"FROM cq WHERE p <> {IS_OF_CLASS})")}, {_Z}, r AS ({_three(False)}),
-q AS MATERIALIZED (SELECT canon, hp, support FROM (SELECT canon, any_value(hp) AS hp, any_value(support) AS support FROM r GROUP BY canon) JOIN z ON z.p = hp WHERE support >= greatest(1, ceil(round(n * 0.05, 6)))),
-card AS (SELECT p, count(*) AS size, count(DISTINCT s) AS dom, count(DISTINCT o) AS ran FROM facts GROUP BY p),
-side AS (SELECT *, dom >= ran AS by_s, floor(size / (CASE WHEN dom >= ran THEN dom ELSE ran END) + 0.5) AS av FROM card),
-bp AS MATERIALIZED ({" UNION ".join(_BODIES)}),
-k AS (SELECT canon, hp, by_s, av, CASE WHEN by_s THEN a ELSE b END AS v, count(*) AS n, count(f.p) AS pos FROM bp JOIN side ON side.p = hp LEFT JOIN facts f ON f.p = hp AND f.s = a AND f.o = b GROUP BY ALL),
-c AS (SELECT f.p, CASE WHEN by_s THEN s ELSE o END AS v, count(*) AS c FROM facts f JOIN side ON side.p = f.p GROUP BY ALL),
-m AS (SELECT canon, sum(n)::BIGINT AS body_size, sum(CASE WHEN c IS NOT NULL THEN n ELSE 0 END)::BIGINT AS pca_body_size,
-  sum(pos + greatest(0, n - pos - greatest(0, av - coalesce(c, 0))))::BIGINT AS qpca_body_size FROM k LEFT JOIN c ON c.p = hp AND c.v = k.v GROUP BY canon)
-SELECT canon, support, {{k}}body_size, CASE WHEN {{k}}body_size > 0 THEN round(support / {{k}}body_size, 6) END AS confidence FROM q JOIN m USING (canon) WHERE NOT regexp_matches(canon, ';\\?[01] [0-9]+ \\?[01];\\?[01] [0-9]+ \\?[01];')"""
 for _k in ("", "pca_", "qpca_"):
     _n = f"{_k or 'cwa_'}confidence"
     QUERIES[_n] = _confidence(_k)
-    ORACLE[_n] = _CONF.format(k=_k)
+    ORACLE[_n] = f"{measured(50, 0.05)} SELECT canon, support, {_k}body_size, round({_k[:-1] or 'cwa'}, 6) AS confidence FROM rt"
