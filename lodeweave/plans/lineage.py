@@ -38,7 +38,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system Hadoop knows."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -47,7 +48,7 @@ def release(df: DataFrame | None) -> None:
     """Delete the table behind a ``cut`` result that nothing reads any more."""
     path = getattr(df, "_lodeweave_path", None)
     if path:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 @atexit.register
@@ -58,6 +59,6 @@ def _clean() -> None:
             shutil.rmtree(re.sub("^file:/+", "/", path), ignore_errors=True)
         else:
             try:
-                _delete(spark, path)
+                delete(spark, path)
             except Exception:  # the session has ended: the folder's owner cleans up
                 return

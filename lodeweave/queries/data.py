@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from lodeweave.operators import cardinalities as C
 from lodeweave.operators import dataset as D
 from lodeweave.operators import discretize as Z
 from lodeweave.operators.terms import complete_quads, dictionary
+from lodeweave.plans.lineage import cut, delete, shared_dir
 from lodeweave.queries.common import FACTS_SQL, facts
 from lodeweave.session import table
+from lodeweave.sources import rdf
 from lodeweave.sources.tables import table_triples
 
 QUERIES = {}
@@ -53,6 +57,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return D.concat(orders, customers).select("s", "p", F.col("o.kind").alias("kind"), F.col("o.value").alias("o"))
 
 
+@query("nquads_written_and_read", f"WITH {_DEC} SELECT p, kind, g, count(*) AS n, count(DISTINCT s) AS n_subjects, CAST(sum(length(v)) AS BIGINT) AS n_chars FROM dq GROUP BY ALL")
+def _(spark, d):
+    path = f"{shared_dir(spark)}/nquads-{uuid.uuid4().hex}"
+    rdf.write_quads(D.decoded_quads(spark, d), path, "nq", "gzip")
+    back = cut(rdf.read_quads(spark, path, "nq"), "read-back")
+    delete(spark, path)
+    return back.groupBy("p", F.col("o.kind").alias("kind"), "g").agg(F.count("*").alias("n"), F.count_distinct("s").alias("n_subjects"), F.sum(F.length("o.value")).alias("n_chars"))
+
+
 @query("decoded_quads", f"WITH {_DEC} SELECT s, p, o, g, count(*) AS n FROM dq GROUP BY ALL")
 def _(spark, d):
     return _show(D.decoded_quads(spark, d)).groupBy("s", "p", "o", "g").agg(F.count("*").alias("n"))
@@ -252,14 +265,36 @@ def _(spark, d):
     return Z.equifrequency(_numbers(spark, d), ["p"], 5).select("p", "bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n", "hi_open")
 
 
-@query("equisize_bins")
+def _equisize_sql(support: float) -> str:
+    """Greedy filling value by value, as a recursion over the values of all predicates at once."""
+    return f"""WITH RECURSIVE {_NUM}, c AS (SELECT p, num + 0.0 AS v, count(*) AS n FROM v GROUP BY ALL),
+u AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY p ORDER BY v) AS k, greatest(1.0, {support} * sum(n) OVER (PARTITION BY p)) AS least FROM c),
+r(p, k, bin, have, least) AS (SELECT p, k, 1, n, least FROM u WHERE k = 1 UNION ALL
+  SELECT u.p, u.k, CASE WHEN r.have >= r.least THEN r.bin + 1 ELSE r.bin END, CASE WHEN r.have >= r.least THEN u.n ELSE r.have + u.n END, u.least FROM r JOIN u ON u.p = r.p AND u.k = r.k + 1),
+l AS (SELECT p, max(bin) AS bin, arg_max(have, k) >= any_value(least) AS closed FROM r GROUP BY p),
+w AS (SELECT u.p, u.v, u.n, CASE WHEN NOT l.closed AND l.bin > 1 THEN least(r.bin, l.bin - 1) ELSE r.bin END AS bin FROM u JOIN r USING (p, k) JOIN l ON l.p = u.p),
+b AS (SELECT p, bin, min(v) AS lo0, max(v) AS hi0, CAST(sum(n) AS BIGINT) AS n FROM w GROUP BY ALL),
+i AS (SELECT p, CAST(row_number() OVER w AS INT) AS bin, coalesce((lag(hi0) OVER w + lo0) / 2, lo0) AS lo, coalesce((hi0 + lead(lo0) OVER w) / 2, hi0) AS hi, n, lead(lo0) OVER w IS NOT NULL AS hi_open
+FROM b WINDOW w AS (PARTITION BY p ORDER BY lo0))"""
+
+
+def _rounded(bins: DataFrame, *more: str) -> DataFrame:
+    return bins.select("p", *more, "bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n", "hi_open")
+
+
+@query("equisize_bins", _equisize_sql(0.2) + " SELECT p, bin, round(lo, 6) AS lo, round(hi, 6) AS hi, n, hi_open FROM i")
 def _(spark, d):
-    return Z.equisize(_numbers(spark, d), ["p"], 0.2)
+    return _rounded(Z.equisize(_numbers(spark, d), ["p"], 0.2))
 
 
-@query("equisize_tree_bins")
+@query(
+    "equisize_tree_bins",
+    _equisize_sql(0.1)
+    + """, deep AS (SELECT greatest(0, CAST(ceil(log2(max(bin))) AS INT)) AS d FROM i), lv AS (SELECT unnest(range(1, d + 2)) AS level FROM deep)
+SELECT p, CAST(level AS INT) AS level, CAST((bin - 1) // (1 << (level - 1)) + 1 AS INT) AS bin, round(min(lo), 6) AS lo, round(max(hi), 6) AS hi, CAST(sum(n) AS BIGINT) AS n, arg_max(hi_open, hi) AS hi_open FROM i, lv GROUP BY p, level, (bin - 1) // (1 << (level - 1))""",
+)
 def _(spark, d):
-    return Z.equisize_tree(_numbers(spark, d), ["p"], 0.1)
+    return _rounded(Z.equisize_tree(_numbers(spark, d), ["p"], 0.1), "level")
 
 
 @query("interval_replace", f"WITH {_EF} SELECT v.p, i.bin, count(*) AS n FROM v JOIN i ON i.p = v.p AND v.num >= i.lo AND (v.num < i.hi OR NOT i.hi_open AND v.num = i.hi) GROUP BY ALL")

@@ -12,7 +12,7 @@ from lodeweave.operators.measures import with_confidences, with_lift
 from lodeweave.operators.mining import MiningTask, mine, without_quasi_binding
 from lodeweave.plans.lineage import cut
 from lodeweave.queries.common import FACTS_SQL, facts
-from lodeweave.queries.rule_sql import KNOWN, RESULT, instances, measured, rules
+from lodeweave.queries.rule_sql import INV2, KNOWN, LEN2, RESULT, instances, measured, rules
 from lodeweave.session import table
 
 QUERIES = {}
@@ -129,10 +129,15 @@ def _(spark, d):
     return R.similar_pairs(rules, rules, same_head=True).groupBy(F.round("similarity", 6).alias("similarity")).agg(F.count("*").alias("n"))
 
 
-@query("quasi_binding")
+@query(
+    "quasi_binding",
+    f"""WITH {FACTS_SQL}, z AS (SELECT p, count(*) AS n FROM facts GROUP BY p HAVING count(*) >= 100), r AS (({LEN2.format(w="")}) UNION ALL ({INV2.format(w="")}) UNION ALL
+(SELECT h.p AS hp, '?0 ' || h.p || ' #' || h.o || ';?0 ' || b.p || ' #' || b.o || ';' AS canon, count(*) AS support FROM facts h JOIN facts b ON h.s = b.s AND (h.p <> b.p OR h.o <> b.o) GROUP BY h.p, h.o, b.p, b.o HAVING count(DISTINCT h.s) > 1))
+SELECT canon, support FROM r JOIN z ON z.p = hp WHERE support >= greatest(1, ceil(round(n * 0.001, 6)))""",
+)
 def _(spark, d):
     f = facts(spark, d)
-    rules = cut(mine(f, MiningTask(min_head_coverage=0.05, constants="object", max_length=2)), "rules")
+    rules = cut(mine(f, MiningTask(min_head_coverage=0.001, constants="object", max_length=2)), "rules")
     return without_quasi_binding(rules, f).select("canon", "support")
 
 

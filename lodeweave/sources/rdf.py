@@ -23,6 +23,8 @@ COMPRESSIONS = {"gz": "gzip", "bz2": "bzip2"}
 TSV_PREFIXES = {"rdf": RDF, "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "xsd": XSD, "owl": "http://www.w3.org/2002/07/owl#"}
 #: Numeric datatypes.
 _NUMBERS = {XSD + t for t in ("integer", "int", "long", "short", "byte", "decimal", "double", "float", "nonNegativeInteger", "positiveInteger", "negativeInteger", "nonPositiveInteger", "unsignedInt", "unsignedLong", "unsignedShort", "unsignedByte")}
+#: Letters of escapes.
+_ESCAPES = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f"}
 _INTERVAL = re.compile(r"^\s*([\[(])\s*([-+.\deE]+)\s*;\s*([-+.\deE]+)\s*([\])])\s*$")
 
 
@@ -57,10 +59,29 @@ def resource(name: str) -> tuple:
     return ("bnode" if name.startswith("_:") else "uri", name, None, None, None, None, None)
 
 
+#: A pair of surrogates, one escape, or a stretch without any.
+_PIECES = r"(\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\[^uU]|\\|[^\\]+)"
+
+
 def _unescaped(c: Column) -> Column:
-    for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    """Escapes replaced in one pass from left to right, so that an escaped backslash starts no other. What is no character (a lone
+    surrogate, a number beyond the last one) becomes U+FFFD."""
+    utf16 = lambda digits: F.decode(F.unhex(digits), "UTF-16BE")
+
+    def plain(x: Column) -> Column:
+        digits = F.regexp_replace(x, r"\\[uU]", "")
+        lone = x.rlike(r"^\\u[dD][89a-fA-F]")
+        point = F.conv(digits, 16, 10).cast("long")
+        high = F.hex((F.lit(0xD800) + F.floor((point - 0x10000) / 1024)).cast("long"))
+        low = F.hex((F.lit(0xDC00) + F.pmod(point - 0x10000, F.lit(1024))).cast("long"))
+        out = F.when(F.length(x) == 12, utf16(digits)).when(lone, F.lit("\ufffd")).when(x.startswith("\\u") & (F.length(x) == 6), utf16(digits))
+        wide = F.when((point > 0x10FFFF) | point.between(0xD800, 0xDFFF), F.lit("\ufffd")).when(point > 0xFFFF, utf16(F.concat(high, low))).otherwise(utf16(F.substring(digits, 5, 4)))
+        out = out.when(x.startswith("\\U") & (F.length(x) == 10), wide)
+        for letter, char in _ESCAPES.items():
+            out = out.when(x == "\\" + letter, F.lit(char))
+        return out.when(x.startswith("\\") & (F.length(x) == 2), F.substring(x, 2, 1)).otherwise(x)
+
+    return F.when(c.contains("\\"), F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_PIECES), F.lit(0)), plain), "")).otherwise(c)
 
 
 def _literal_column(text: Column, datatype: Column) -> Column:
@@ -73,19 +94,28 @@ def _literal_column(text: Column, datatype: Column) -> Column:
     return out.when(m(2).try_cast("double").isNotNull() & m(3).try_cast("double").isNotNull(), iv).otherwise(term("text", text))
 
 
-_NQ = r"""^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:[^\s.]+|"(?:[^"\\]|\\.)*"(?:@[\w-]+|\^\^<[^>]*>)?)\s*(<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$"""
+_IRI = r"<[^>]*>"
+_BNODE = r"_:[\p{L}\p{N}_:](?:[\p{L}\p{N}_:·.-]*[\p{L}\p{N}_:·-])?"
+_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_NQ = rf"^\s*({_IRI}|{_BNODE})\s*({_IRI})\s*({_IRI}|{_BNODE}|{_TEXT}(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{_IRI})?)\s*({_IRI}|{_BNODE})?\s*\.\s*(?:#.*)?$"
 
 
 def read_lines(spark: SparkSession, path: str, quads: bool) -> DataFrame:
-    """N-Triples or N-Quads, line by line, so that large files are split; lines of another form are left out."""
+    """N-Triples or N-Quads, line by line, so that large files are split. Lines of another form are left out; ``rejected_lines`` has them."""
     v = F.col("value")
     part = lambda k: F.regexp_extract(v, _NQ, k)
-    bare = lambda c: F.when(c.startswith("<"), F.regexp_extract(c, "^<(.*)>$", 1)).otherwise(c)
+    bare = lambda c: F.when(c.startswith("<"), _unescaped(F.regexp_extract(c, "^<(.*)>$", 1))).otherwise(c)
     o = part(3)
-    text = _unescaped(F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1))
+    text = _unescaped(F.regexp_extract(o, f"^{_TEXT}", 0).substr(F.lit(2), F.length(F.regexp_extract(o, f"^{_TEXT}", 0)) - 2))
     datatype = F.regexp_extract(o, r"\^\^<([^>]*)>$", 1)
     obj = F.when(o.startswith('"'), _literal_column(text, datatype)).when(o.startswith("_:"), term("bnode", o)).otherwise(term("uri", bare(o)))
-    return spark.read.text(path).where(v.rlike(_NQ)).select(bare(part(1)).alias("s"), part(2).alias("p"), obj.alias("o"), (bare(part(4)) if quads else F.lit("")).alias("g"))
+    return spark.read.text(path).where(v.rlike(_NQ)).select(bare(part(1)).alias("s"), bare(part(2)).alias("p"), obj.alias("o"), (bare(part(4)) if quads else F.lit("")).alias("g"))
+
+
+def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(``value``): the lines of an N-Triples or N-Quads file that hold something else than a statement, a comment or blanks."""
+    v = F.col("value")
+    return spark.read.text(path).where(~v.rlike(_NQ) & ~v.rlike(r"^\s*(?:#.*)?$"))
 
 
 def read_tsv(spark: SparkSession, path: str, mode: str = "raw") -> DataFrame:
@@ -110,14 +140,15 @@ def read_tsv(spark: SparkSession, path: str, mode: str = "raw") -> DataFrame:
     kind = lambda c: F.when(c.startswith("_:"), "bnode").otherwise("uri")
     obj = term(kind(o), uri(o))
     if mode == "parsed_literals":
-        text = _unescaped(F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1))
+        quoted_part = F.regexp_extract(o, f"^{_TEXT}", 0)
+        text = _unescaped(quoted_part.substr(F.lit(2), F.length(quoted_part) - 2))
         number = o.try_cast("double")
         typed = F.regexp_extract(o, r'"\^\^(\S+)$', 1)
         quoted = F.when((typed != "") & text.try_cast("double").isNotNull(), term("number", text, text.try_cast("double"))).otherwise(_literal_column(text, uri(typed)))
         prefixed = F.lit(False)
         for prefix in (*TSV_PREFIXES, "_"):
             prefixed = prefixed | o.startswith(prefix + ":")
-        obj = F.when(o.rlike("^<.*>$"), obj).when(o.rlike(r'^"(?:[^"\\]|\\.)*"'), quoted).when(prefixed, obj).when(number.isNotNull(), term("number", o, number)).otherwise(obj)
+        obj = F.when(o.rlike("^<.*>$"), obj).when(o.rlike(f"^{_TEXT}"), quoted).when(prefixed, obj).when(number.isNotNull(), term("number", o, number)).otherwise(obj)
     return rows.select(uri(s).alias("s"), uri(p).alias("p"), obj.alias("o"), F.lit("").alias("g"))
 
 
@@ -126,7 +157,6 @@ _TTL_TOKEN = re.compile(
     r"""|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<type>\^\^)|(?P<number>[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?(?=[\s;,.)\]]|$))|(?P<name>(?:[\w-]*(?:\.[\w-]+)*:(?:[\w:%\\-]|\.(?=[\w:%\\-]))*)|_:[\w.-]*\w)|(?P<word>[A-Za-z]+)|(?P<mark>[\[\](){};,.=])""",
     re.S,
 )
-_ESCAPES = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f"}
 
 
 def _plain_text(s: str) -> str:
@@ -548,18 +578,21 @@ def _escaped(c: Column) -> Column:
     return c
 
 
-def quad_lines(quads: DataFrame, kind: str = "nt") -> DataFrame:
+def quad_lines(quads: DataFrame, kind: str = "nt", keep: list[str] = []) -> DataFrame:
     """One column of lines: nt, ttl (graphs lost) or nq."""
     o = F.col("o")
     typed = lambda t: F.concat(F.lit('"'), o["value"], F.lit(f'"^^<{XSD}{t}>'))
     obj = F.when(o["kind"].isin("uri", "bnode"), printed_uri(o["value"])).when(o["kind"] == "number", typed("double")).when(o["kind"] == "boolean", typed("boolean"))
     obj = obj.otherwise(F.concat(F.lit('"'), _escaped(o["value"]), F.lit('"')))
     g = F.when(F.coalesce(F.col("g"), F.lit("")) != "", F.concat(F.lit(" "), printed_uri(F.col("g")))).otherwise("") if kind == "nq" else F.lit("")
-    return quads.select(F.concat(printed_uri(F.col("s")), F.lit(" <"), F.col("p"), F.lit("> "), obj, g, F.lit(" .")).alias("value"))
+    return quads.select(F.concat(printed_uri(F.col("s")), F.lit(" <"), F.col("p"), F.lit("> "), obj, g, F.lit(" .")).alias("value"), *keep)
 
 
 def write_quads(quads: DataFrame, path: str, kind: str, compression: str | None = None, tsv_mode: str = "raw") -> None:
-    """Writes a folder of part files: nt, nq, ttl, tsv or parquet; there is no writer of SQL dumps."""
+    """Writes a folder of part files: nt, nq, ttl, trig, trix, tsv or parquet; there is no writer of SQL dumps.
+
+    Part files of trig hold each statement in a block of its graph, those of trix are documents of their own.
+    """
     if kind == "parquet":
         quads.write.mode("overwrite").parquet(path)
         return
@@ -569,7 +602,33 @@ def write_quads(quads: DataFrame, path: str, kind: str, compression: str | None
         lines = quads.select(F.concat_ws("\t", *cols).alias("value"))
     elif kind in ("nt", "nq", "ttl"):
         lines = quad_lines(quads, kind)
+    elif kind == "trig":
+        g = F.coalesce(F.col("g"), F.lit(""))
+        block = F.when(g != "", F.concat(printed_uri(g), F.lit(" "))).otherwise("")
+        triple = quad_lines(quads.withColumn("_block", block), "ttl", keep=["_block"])
+        lines = triple.select(F.concat("_block", F.lit("{ "), "value", F.lit(" }")).alias("value"))
+    elif kind == "trix":
+        lines = quads.select("s", "p", "o", "g").mapInPandas(_trix_documents, "value string")
     else:
         raise ValueError(f"no writer for {kind}")
     writer = lines.write.mode("overwrite")
     (writer.option("compression", compression) if compression else writer).text(path)
+
+
+def _trix_documents(frames):
+    """One document for each part: a graph element for each run of statements of one graph."""
+    from xml.sax.saxutils import escape
+
+    import pandas as pd
+
+    def item(kind: str, value: str) -> str:
+        if kind in ("number", "boolean"):
+            return f'<typedLiteral datatype="{XSD}{"double" if kind == "number" else kind}">{escape(value)}</typedLiteral>'
+        return f"<id>{escape(value[2:])}</id>" if kind == "bnode" else f"<uri>{escape(value)}</uri>" if kind == "uri" else f"<plainLiteral>{escape(value)}</plainLiteral>"
+
+    name = lambda x: item("bnode" if x.startswith("_:") else "uri", x)
+    yield pd.DataFrame({"value": ['<TriX xmlns="http://www.w3.org/2004/03/trix/trix-1/">']})
+    for pdf in frames:
+        rows = [f"<graph>{name(g) if g else ''}<triple>{name(s)}{item('uri', p)}{item(o['kind'], o['value'])}</triple></graph>" for s, p, o, g in zip(pdf["s"], pdf["p"], pdf["o"], pdf["g"].fillna(""))]
+        yield pd.DataFrame({"value": rows})
+    yield pd.DataFrame({"value": ["</TriX>"]})

@@ -42,6 +42,34 @@ def test_lines_plain_and_packed(spark, tmp_path, name, pack):
     assert triples(rdf.read_quads(spark, out, "nt")) == WANT
 
 
+HARD = r"""<http://x/a><http://x/p><http://x/b>.
+<http://x/a> <http://x/p> "C:\\temp\tnew" .
+_:b.1 <http://x/p> _:c.d .
+<http://x/a> <http://x/p> "caf\u00e9 \U0001F600 \uD83D\uDE00 \uD800 \"x\"" <http://x/g> .
+<http://x/\u00e9> <http://x/p> "5"^^<http://www.w3.org/2001/XMLSchema#integer>.# comment
+
+<http://x/a> <http://x/p> unquoted .
+"""
+
+
+def test_escapes_and_grammar_of_lines(spark, tmp_path):
+    path = tmp_path / "h.nq"
+    path.write_text(HARD + '<http://x/long> <http://x/p> "' + 'a\\\\b' * 40_000 + '" .\n', encoding="utf-8")
+    df = rdf.read_quads(spark, str(path))
+    got = {(s, o if len(o) < 100 else len(o), g) for s, _, o, g in quads(df)}
+    assert got == {
+        ("http://x/a", "http://x/b", ""), ("http://x/a", "C:\\temp\tnew", ""), ("_:b.1", "_:c.d", ""), ("http://x/a", 'caf\u00e9 \U0001f600 \U0001f600 \ufffd "x"', "http://x/g"),
+        ("http://x/\u00e9", "5", ""), ("http://x/long", 120_000, ""),
+    }
+    assert [r["value"] for r in rdf.rejected_lines(spark, str(path)).collect()] == ["<http://x/a> <http://x/p> unquoted ."]
+    want = quads(df)
+    for kind in ("nq", "trig", "trix"):
+        rdf.write_quads(df.coalesce(1), str(tmp_path / kind), kind)
+        files = [p for p in (tmp_path / kind).iterdir() if p.name.startswith("part")]
+        files[0].rename(tmp_path / f"back.{kind}")
+        assert quads(rdf.read_quads(spark, str(tmp_path / f"back.{kind}"))) == want
+
+
 def test_graphs_survive_nq(spark, tmp_path):
     path = tmp_path / "a.nq"
     path.write_text('<http://x/a> <http://x/p> "v" <http://x/g> .\n<http://x/a> <http://x/p> _:b .\n')
