@@ -39,7 +39,8 @@ def printed(o: Column) -> Column:
     return F.when(o["kind"].isin("uri", "bnode"), printed_uri(o["value"])).when(o["kind"] == "text", F.concat(F.lit('"'), o["value"], F.lit('"'))).otherwise(o["value"])
 
 
-def _number(pattern: str, num: Column) -> Column:
+def number_matcher(pattern: str, num: Column) -> Column:
+    """A number, a comparison (``>= 2``) or a range (``[1 ; 2)``)."""
     pattern = pattern.strip()
     if m := re.match(r"^(>=|<=|>|<)\s*(\S+)$", pattern):
         x = F.lit(float(m[2]))
@@ -63,7 +64,7 @@ def object_matcher(pattern: str, o: Column) -> Column:
         return (o["kind"] == "boolean") & (o["value"] == pattern)
     if pattern.startswith("i") and (m := _INTERVAL.match(pattern[1:])):
         return (o["kind"] == "interval") & (o["lo"] == float(m[2])) & (o["hi"] == float(m[3])) & (o["lo_open"] == (m[1] == "(")) & (o["hi_open"] == (m[4] == ")"))
-    return (o["kind"] == "number") & _number(pattern, o["num"])
+    return (o["kind"] == "number") & number_matcher(pattern, o["num"])
 
 
 def uri_matcher(pattern: str, c: Column) -> Column:

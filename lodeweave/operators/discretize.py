@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeweave.functions.matching import interval_term
+from lodeweave.functions.matching import interval_term, printed
+from lodeweave.plans.lineage import cut
 
 INTERVALS = "p string, bin int, lo double, hi double, lo_open boolean, hi_open boolean, n long"
 
@@ -33,16 +34,17 @@ def equifrequency(values: DataFrame, keys: list[str], bins: int, value: str = "n
     return _borders(binned, keys)
 
 
-def equisize(values: DataFrame, keys: list[str], support: float, value: str = "num") -> DataFrame:
-    """Intervals of at least ``support`` rows (a share if below 1): a bin closes with the value that reaches it; too few
+def equisize(values: DataFrame, keys: list[str], support: float | str, value: str = "num") -> DataFrame:
+    """Intervals of at least ``support`` rows (a share if below 1; or the key column that has it): a bin closes with the value that reaches it; too few
     at the end join the last bin. Only distinct values and their counts of a key meet in a task."""
     counted = _value_counts(values, keys, value)
     types = dict(counted.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", v double, n long, bin int"
 
-    def cut(pdf):
+    def filled(pdf):
         pdf = pdf.sort_values("v")
-        least = max(1.0, support * pdf["n"].sum() if support < 1 else support)
+        wanted = float(pdf[support].iloc[0]) if isinstance(support, str) else support
+        least = max(1.0, wanted * pdf["n"].sum() if wanted < 1 else wanted)
         out, bin_, have = [], 1, 0
         for n in pdf["n"]:
             out.append(bin_)
@@ -53,10 +55,10 @@ def equisize(values: DataFrame, keys: list[str], support: float, value: str = "n
             out = [min(b, bin_ - 1) for b in out]
         return pdf.assign(bin=out)[[*keys, "v", "n", "bin"]]
 
-    return _borders(counted.select(*keys, "v", "n").groupBy(*keys).applyInPandas(cut, schema), keys)
+    return _borders(counted.select(*keys, "v", "n").groupBy(*keys).applyInPandas(filled, schema), keys)
 
 
-def equisize_tree(values: DataFrame, keys: list[str], support: float, arity: int = 2, value: str = "num") -> DataFrame:
+def equisize_tree(values: DataFrame, keys: list[str], support: float | str, arity: int = 2, value: str = "num") -> DataFrame:
     """Levels of intervals: level 1 are the equisize bins, each further level joins ``arity`` neighbours, up to one interval
     for all. (``keys``, ``level``, ``bin``, ``lo``, ``hi``, flags, ``n``.)"""
     out = level = equisize(values, keys, support, value).withColumn("level", F.lit(1))
@@ -108,7 +110,7 @@ def replace_by_intervals(quads: DataFrame, intervals: DataFrame, keys: tuple[str
 
 @dataclass(frozen=True)
 class AutoTask:
-    """Bounds of automatic discretization."""
+    """Bounds of automatic discretization; ``predicates`` are those to cut, all numeric ones if empty."""
 
     lower_bound: bool = True
     upper_bound: bool = True
@@ -116,6 +118,23 @@ class AutoTask:
     min_head_coverage: float = 0.01
     max_length: int = 3
     arity: int = 2
+    predicates: tuple[str, ...] = ()
+
+
+def _bounds(quads: DataFrame, task: AutoTask) -> DataFrame:
+    """(``p``, ``least``, ``most``): bounds of the support of each predicate that has one to reach."""
+    node = F.when(F.col("o.kind").isin("uri", "bnode"), F.col("o.value"))
+    ends = quads.select("p", F.explode(F.array("s", node)).alias("t")).where("t is not null").distinct()
+    links = cut(ends.join(ends.withColumnRenamed("p", "q"), "t").select("p", "q").distinct(), "links")
+    sizes = quads.select("s", "p", printed(F.col("o")).alias("o")).distinct().groupBy(F.col("p").alias("q")).agg(F.count("*").alias("n"))
+    reach = links.select("p", F.col("p").alias("q")).distinct()
+    for _ in range(task.max_length - 1):
+        step = reach.join(links.select(F.col("p").alias("q"), F.col("q").alias("to")), "q").select("p", F.col("to").alias("q"))
+        reach = cut(reach.unionByName(step).distinct(), "reach")
+    support = F.ceil(F.col("n") * task.min_head_coverage)
+    found = reach.join(sizes.where(F.col("n") >= task.min_head_size), "q").groupBy("p").agg(F.min(support).alias("a"), F.max(support).alias("b"))
+    least = F.greatest(F.lit(2), "a") if task.lower_bound else F.lit(2)
+    return found.select("p", least.cast("double").alias("least"), (F.col("b").cast("double") if task.upper_bound else F.lit(math.inf)).alias("most"))
 
 
 def auto_discretize(quads: DataFrame, task: AutoTask = AutoTask()) -> DataFrame:
@@ -123,35 +142,20 @@ def auto_discretize(quads: DataFrame, task: AutoTask = AutoTask()) -> DataFrame:
 
     For each numeric predicate the least support is the smallest ceil(head size * head coverage) over predicates
     reachable within ``max_length`` - 1 steps of shared terms, the greatest the largest; levels all of whose intervals
-    exceed the greatest support are cut.
+    exceed the greatest support are cut. One plan for all predicates, whose bounds are columns.
     """
-    from lodeweave.functions.matching import printed
-
-    node = F.when(F.col("o.kind").isin("uri", "bnode"), F.col("o.value"))
-    ends = quads.select("p", F.explode(F.array("s", node)).alias("t")).where("t is not null").distinct()
-    links = ends.join(ends.withColumnRenamed("p", "q"), "t").select("p", "q").distinct()
-    edges: dict[str, set[str]] = {}
-    for r in links.collect():  # pairs of predicates, which are few
-        edges.setdefault(r["p"], set()).add(r["q"])
-    sizes = {r["p"]: r["n"] for r in quads.select("s", "p", printed(F.col("o")).alias("o")).distinct().groupBy("p").agg(F.count("*").alias("n")).collect()}
-    numeric = [r["p"] for r in quads.where("o.kind = 'number' and not isnan(o.num)").select("p").distinct().collect()]
-    out = None
-    for p in sorted(numeric):
-        reach = {p}
-        for _ in range(task.max_length - 1):
-            reach |= {y for x in reach for y in edges.get(x, ())}
-        supports = [math.ceil(sizes[x] * task.min_head_coverage) for x in reach if sizes.get(x, 0) >= task.min_head_size]
-        if not supports:
-            continue
-        least = max(2, min(supports)) if task.lower_bound else 2
-        most = max(supports) if task.upper_bound else math.inf
-        own = quads.where((F.col("p") == p) & (F.col("o.kind") == "number"))
-        tree = equisize_tree(own.select("p", F.col("o.num").alias("num")), ["p"], least, task.arity)
-        kept = {r["level"] for r in tree.groupBy("level").agg(F.min("n").alias("n")).collect() if r["n"] <= most}
-        for level in sorted(kept):
-            new = replace_by_intervals(own, tree.where(F.col("level") == level)).withColumn("p", F.lit(f"{p}#discretized_level_{level}"))
-            out = new if out is None else out.unionByName(new)
-    return quads.limit(0) if out is None else out
+    own = quads.where("o.kind = 'number' and not isnan(o.num)")
+    if task.predicates:
+        own = own.where(F.col("p").isin(list(task.predicates)))
+    bounds = cut(_bounds(quads, task), "bounds")
+    values = own.join(bounds.select("p", "least"), "p").select("p", "least", F.col("o.num").alias("num"))
+    tree = cut(equisize_tree(values, ["p", "least"], "least", task.arity), "tree")
+    depth = tree.where("level = 1").groupBy("p").agg(F.greatest(F.lit(1), 1 + F.ceil(F.round(F.log(F.max("bin").cast("double")) / math.log(task.arity), 9))).alias("depth"))
+    kept = tree.groupBy("p", "level").agg(F.min("n").alias("n")).join(depth, "p").join(bounds, "p").where("n <= most and level <= depth").select("p", "level")
+    kept = cut(kept, "levels")
+    name = F.concat("p", F.lit("#discretized_level_"), F.col("level").cast("string"))
+    bins = tree.join(kept, ["p", "level"]).withColumn("p", name).drop("level", "least")
+    return replace_by_intervals(own.join(kept, "p").withColumn("p", name).select(*quads.columns), bins)
 
 
 def interval_families(predicates: list[str]) -> dict[str, str]:

@@ -40,6 +40,8 @@ class MiningTask:
     allow_top_k_overflow: bool = False
     timeout_minutes: float = 0.0
     sample: float = 0.0
+    margin: float = 0.0
+    dynamic_margin: bool = False
     seed: int = 42
 
     def __post_init__(self):
@@ -53,6 +55,11 @@ class MiningTask:
         for k, v in clamp.items():
             object.__setattr__(self, k, v)
 
+    @property
+    def sampled(self) -> bool:
+        """Whether supports are estimated from a part of the head triples: a fixed share, or what the margin of error asks for."""
+        return 0 < self.sample < 1 or self.margin > 0
+
     @property
     def with_constants(self) -> bool:
         return self.constants != "nowhere" or bool(self.constants_for)
@@ -132,7 +139,11 @@ def mine(facts: DataFrame, task: MiningTask = MiningTask()) -> DataFrame:
     lower = _lower_sides(facts, task)
     sizes = cut(head_sizes(facts, task.injective).where(F.col("head_size") >= task.min_head_size).withColumnRenamed("p", "p0"), "heads")
     sizes = broadcast_if_small(sizes)
-    source = facts.sample(task.sample, task.seed) if 0 < task.sample < 1 else facts
+    source = facts
+    if task.sampled:
+        sizes = sizes.withColumn("rate", _rate(task))
+        draw = F.pmod(F.xxhash64("s", "p", "o", F.lit(task.seed)), F.lit(1 << 30)) / (1 << 30)  # by value: the same whenever a stage is run again
+        source = facts.join(sizes.select(F.col("p0").alias("p"), "rate"), "p").where(draw < F.col("rate")).select("s", "p", "o")
     near = _neighbours(facts, sizes, task)
     began, out, threshold = time.time(), None, task
     shapes = closed_shapes(task.max_length, task.with_constants)
@@ -199,11 +210,11 @@ def _of_shape(facts: DataFrame, source: DataFrame, shape: Shape, sizes: DataFram
     if conditions := distinct_atoms(shape):
         df = df.where(reduce(lambda a, b: a & b, conditions))
     group = keys(shape)
-    pairs = df.select(*group, *head_values(shape), "head_size").distinct()
-    n = pairs.groupBy(*group).agg(F.count("*").alias("support"), F.first("head_size").alias("head_size"))
-    scale = 1 / task.sample if 0 < task.sample < 1 else None
-    if scale:
-        n = n.withColumn("support", F.round(F.col("support") * scale).cast("long"))
+    kept = ["head_size", *(["rate"] if task.sampled else [])]
+    pairs = df.select(*group, *head_values(shape), *kept).distinct()
+    n = pairs.groupBy(*group).agg(F.count("*").alias("support"), *[F.first(c).alias(c) for c in kept])
+    if task.sampled:
+        n = n.withColumn("support", F.round(F.col("support") / F.col("rate")).cast("long"))
     n = n.where(F.col("support") >= _least(task))
     if CONST in shape[0]:
         c = ("s", "o")[shape[0].index(CONST)]
@@ -212,10 +223,21 @@ def _of_shape(facts: DataFrame, source: DataFrame, shape: Shape, sizes: DataFram
         n = n.join(supports, ["p0", "k0"])
     else:
         n = n.withColumn("head_support", F.col("head_size"))
-    ratio = F.lit(scale).cast("float") if scale else F.lit(None).cast("float")
+    ratio = (1 / F.col("rate")).cast("float") if task.sampled else F.lit(None).cast("float")
     return n.select(*rule_columns(shape), "support", "head_support", "head_size", (F.col("support") / F.col("head_size")).alias("head_coverage"), ratio.alias("support_increase_ratio"))
 
 
+def _rate(task: MiningTask):
+    """The part of each head's triples to look at: ``sample``, or ``sample_fraction`` at the least head coverage."""
+    if not task.margin:
+        return F.lit(float(task.sample))
+    hc, margin = task.min_head_coverage or 0.01, task.margin
+    if task.dynamic_margin and 0 < hc < 1:
+        margin = min(-margin / math.log10(hc), margin)
+    n = max(hc * (1 - hc) / (margin / 1.96) ** 2, 1.0)
+    return F.least(F.lit(1.0), F.lit(n) / F.col("head_size"))
+
+
 def sample_fraction(head_size: int, head_coverage: float, margin: float, dynamic: bool = False) -> float:
     """The part of head triples that estimates ``head_coverage`` within ``margin`` at 95 %."""
     if dynamic and 0 < head_coverage < 1:

@@ -106,9 +106,9 @@ def prune_skyline(rules: DataFrame, measure: str) -> DataFrame:
     return rules.join(beaten, "rule_id", "left_anti")
 
 
-def prune_data_coverage(rules: DataFrame, facts: DataFrame, injective: bool = True, functional: bool = False) -> DataFrame:
-    """Rules that are the best one (default order) of some fact they predict; ``functional``: only the best prediction of each
-    higher-side task counts."""
+def prune_data_coverage(rules: DataFrame, facts: DataFrame, injective: bool = True, functional: bool = False, existing: bool = True) -> DataFrame:
+    """Rules that are the best one (default order) of some fact they predict, or if not ``existing`` of any triple; ``functional``: only
+    the best prediction of each higher-side task counts."""
     order = rules.select("rule_id", F.struct(*[F.coalesce(-F.col(c), F.lit(float("inf"))).alias(c) for c in _DEFAULT_ORDER[1:] if c in rules.columns], "canon", "rule_id").alias("_o"))
     pairs = predicted_pairs(rules, facts, injective).join(order, "rule_id")
     if functional:
@@ -118,7 +118,7 @@ def prune_data_coverage(rules: DataFrame, facts: DataFrame, injective: bool = Tr
         v = F.when(F.col("higher_side") == "subject", F.col("s")).otherwise(F.col("o"))
         best = pairs.join(F.broadcast(sides), "p").groupBy("p", v.alias("v")).agg(F.min("_o").alias("_o"))
     else:
-        best = pairs.join(facts, ["s", "p", "o"], "left_semi").groupBy("s", "p", "o").agg(F.min("_o").alias("_o"))
+        best = (pairs.join(facts, ["s", "p", "o"], "left_semi") if existing else pairs).groupBy("s", "p", "o").agg(F.min("_o").alias("_o"))
     return rules.join(best.select("_o.rule_id").distinct(), "rule_id", "left_semi")
 
 
@@ -229,14 +229,15 @@ def similar_pairs(rules: DataFrame, against: DataFrame, similarity: Column | Non
     return a.join(b, on).select(F.col("a_rule_id").alias("rule_id"), F.col("b_rule_id").alias("other_id"), similarity.alias("similarity"))
 
 
-def find_similar(rules: DataFrame, rule_id: int, k: int, dissimilar: bool = False, max_body: int | None = None) -> DataFrame:
-    """The ``k`` rules most (or least) like one rule."""
-    s = similar_pairs(rules.where(F.col("rule_id") == rule_id), rules, max_body=max_body)
+def find_similar(rules: DataFrame, rule: int | DataFrame, k: int, dissimilar: bool = False, max_body: int | None = None, similarity: Column | None = None) -> DataFrame:
+    """The ``k`` rules most (or least) like one rule, given by its id or as a table of one row."""
+    one = rules.where(F.col("rule_id") == rule) if isinstance(rule, int) else rule
+    s = similar_pairs(one, rules, similarity, max_body=max_body)
     order = F.asc("similarity") if dissimilar else F.desc("similarity")
     return s.orderBy(order, "other_id").limit(k)
 
 
-def cluster_rules(rules: DataFrame, min_neighbours: int = 5, min_similarity: float = 0.9, max_body: int | None = None, by_head: bool = True) -> DataFrame:
+def cluster_rules(rules: DataFrame, min_neighbours: int = 5, min_similarity: float = 0.9, max_body: int | None = None, by_head: bool = True, similarity: Column | None = None) -> DataFrame:
     """Rules with ``cluster``: density clusters in the order of ``canon`` without noise, within equal head predicates or over all.
 
     A rule starts a cluster; the rules like it that are still free join, and if there are ``min_neighbours`` of them at
@@ -245,8 +246,8 @@ def cluster_rules(rules: DataFrame, min_neighbours: int = 5, min_similarity: flo
     from lodeweave.plans.lineage import cut as write
 
     group = F.col("head.p") if by_head else F.lit(0).cast("long")
-    keyed = write(rules.select("rule_id", "canon", "head", "body", group.alias("grp")), "to-cluster")
-    links = similar_pairs(keyed, keyed, max_body=max_body, same_head=by_head).where(F.col("similarity") >= min_similarity)
+    keyed = write(rules.select("*", group.alias("grp")), "to-cluster")
+    links = similar_pairs(keyed, keyed, similarity, max_body=max_body, same_head=by_head).where(F.col("similarity") >= min_similarity)
     near = links.groupBy("rule_id").agg(F.collect_list("other_id").alias("near"))
     nodes = keyed.select("rule_id", "canon", "grp").join(near, "rule_id", "left")
 

@@ -25,6 +25,15 @@ def test_tasks(test: DataFrame, side: str | DataFrame = "both") -> DataFrame:
     return _sided(test.select("s", "p", "o"), side).select(*KEY).distinct()
 
 
+def matching(tasks: DataFrame, patterns: list[tuple[int | None, str | None]]) -> DataFrame:
+    """Tasks that fit one of the (predicate, open side) patterns; None fits all."""
+    fit = F.lit(False)
+    for p, target in patterns:
+        one = F.lit(True) if p is None else F.col("p") == p
+        fit = fit | (one if target is None else one & (F.col("fixed_side") == {"subject": "object", "object": "subject"}[target]))
+    return tasks.where(fit)
+
+
 def prediction_tasks(grouped: DataFrame, side: str | DataFrame, wanted: DataFrame | None = None, top_k: int = 0) -> DataFrame:
     """Candidates by task with ``rank`` from 1 (score, confidences, candidate). Tasks in ``wanted`` without a candidate
     have one row with nulls. ``top_k`` keeps the best of each task."""

@@ -11,9 +11,9 @@ from lodeweave.plans.shapes import ATOM
 
 def write_rules(rules: DataFrame, path: str, kind: str = "ndjson", names: DataFrame | None = None) -> None:
     """``kind``: ndjson or json (one object a line), text (write only) or parquet."""
-    if kind == "parquet":
+    if kind in ("parquet", "cache"):
         rules.write.mode("overwrite").parquet(path)
-    elif kind == "text":
+    elif kind in ("text", "txt"):
         rule_text(rules, names).select("text").write.mode("overwrite").text(path)
     elif kind in ("json", "ndjson"):
         have = [(m, c) for m, c in MEASURES.items() if c in rules.columns]
@@ -24,7 +24,7 @@ def write_rules(rules: DataFrame, path: str, kind: str = "ndjson", names: DataFr
 
 def read_rules(spark: SparkSession, path: str, kind: str = "ndjson") -> DataFrame:
     """Rules written by ``write_rules``; measure names are read in either spelling."""
-    if kind == "parquet":
+    if kind in ("parquet", "cache"):
         return spark.read.parquet(path)
     integers = ("Support", "HeadSupport", "HeadSize", "BodySize", "QpcaBodySize", "PcaBodySize")
     types = {m: "bigint" if m in integers else "int" if m == "Cluster" else "double" for m in MEASURES}
@@ -35,19 +35,26 @@ def read_rules(spark: SparkSession, path: str, kind: str = "ndjson") -> DataFram
 
 
 def write_predictions(predictions: DataFrame, path: str, kind: str = "ndjson") -> None:
-    if kind == "parquet":
+    if kind in ("parquet", "cache"):
         predictions.write.mode("overwrite").parquet(path)
     else:
         predictions.select(F.to_json(F.struct(*predictions.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_predictions(spark: SparkSession, path: str, schema: str, kind: str = "ndjson") -> DataFrame:
-    return spark.read.parquet(path) if kind == "parquet" else spark.read.schema(schema).json(path)
+    return spark.read.parquet(path) if kind in ("parquet", "cache") else spark.read.schema(schema).json(path)
 
 
-def write_index(facts: DataFrame, terms: DataFrame, path: str) -> None:
-    """The dictionary and the facts side by side; either can be read alone."""
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_index(facts: DataFrame, terms: DataFrame, path: str, test: DataFrame | None = None) -> None:
+    """The dictionary, the facts and the test part side by side; each can be read alone."""
     terms.write.mode("overwrite").parquet(f"{path}/terms")
+    if test is not None:
+        test.write.mode("overwrite").parquet(f"{path}/test")
     facts.write.mode("overwrite").parquet(f"{path}/facts")
 
 
