@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -111,14 +112,31 @@ def properties(quads: DataFrame) -> DataFrame:
     return quads.groupBy("p").agg(*[F.count_if(kind.isin(*k)).alias(n) for n, k in names.items()], F.count("*").alias("total"))
 
 
+#: Bits of a hash that cut a stratum into pieces to be ordered on their own.
+_PIECE_BITS = 12
+
+
+def with_turn(df: DataFrame, keys: Sequence[str], by: Column, name: str = "turn") -> DataFrame:
+    """Rows with their place, from 1, in the order of the hash ``by`` within their key. A key's rows are ordered in pieces by the leading bits
+    of the hash, to whose places the sizes of the pieces before are added, so that no task holds all rows of a key."""
+    piece = F.shiftright(F.col("_h"), 64 - _PIECE_BITS)
+    rows = df.withColumn("_h", by).withColumn("_piece", piece)
+    sizes = rows.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*keys, "_piece", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy("_h"))
+    placed = rows.withColumn("_w", within).join(offsets, [*keys, "_piece"])
+    return placed.select(*df.columns, (F.col("_w") + F.col("_before")).alias(name))
+
+
 def split(triples: DataFrame, parts: Sequence[float], stratum: str = "p", seed: int = 42, absolute: bool = False) -> list[DataFrame]:
-    """Parts without replacement, stratified: rows are ordered by their turn within a shuffled stratum, and each part takes the next
-    rows of that order until it has its ratio, or its number of rows if ``absolute``. One part returns only itself, parts
-    of all ratios together the whole."""
+    """Parts without replacement, stratified: rows are ordered by their turn within a shuffled stratum (then by stratum), and each part takes the
+    next rows of that order until it has its ratio, or its number of rows if ``absolute``. One part returns only itself, parts
+    of all ratios together the whole. Rows with a null stratum are left out."""
     order = F.xxhash64(*[c for c in triples.columns], F.lit(seed))
-    turn = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
-    ranked = with_index(triples.withColumn("_turn", turn), [F.col("_turn"), F.xxhash64(stratum, F.lit(seed))], "_ix")
-    total = None if absolute else triples.count()
+    turned = with_turn(triples.where(F.col(stratum).isNotNull()), [stratum], order, "_turn")
+    ranked = with_index(turned, [F.col("_turn"), F.col(stratum)], "_ix")
+    total = None if absolute else triples.where(F.col(stratum).isNotNull()).count()
     out, start = [], 0
     for x in parts:
         n = int(x) if absolute else int(round(sum(parts[: len(out) + 1]) * total)) - start
@@ -127,9 +145,62 @@ def split(triples: DataFrame, parts: Sequence[float], stratum: str = "p", seed:
     return out
 
 
-def bootstrap(triples: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
-    """A sample with replacement, each row drawn a Poisson number of times; strata keep their shares on average."""
-    return triples.sample(withReplacement=True, fraction=ratio, seed=seed)
+def bootstrap(triples: DataFrame, ratios: Sequence[float], stratum: str = "p", seed: int = 42) -> list[DataFrame]:
+    """Samples with replacement, one for each ratio: of each stratum exactly its size times the ratio, rounded. Draw i of a stratum is
+    row 1 + hash(i) mod size, so that the same seed gives the same sample. Rows with a null stratum are left out."""
+    from lodeweave.plans.lineage import cut
+
+    order = F.xxhash64(*triples.columns, F.lit(seed))
+    rows = cut(with_turn(triples.where(F.col(stratum).isNotNull()), [stratum], order, "_turn"), "turns")
+    sizes = rows.groupBy(stratum).agg(F.count("*").alias("_size"))
+    out = []
+    for k, ratio in enumerate(ratios):
+        each = F.sequence(F.lit(0), F.lit(max(0, math.ceil(ratio) - 1)))  # draws are spread over the rows themselves
+        draws = rows.select(stratum, "_turn").join(sizes, stratum).withColumn("_i", F.explode(F.transform(each, lambda j: F.col("_turn") + j * F.col("_size"))))
+        draws = draws.where(F.col("_i") <= F.round(F.col("_size") * ratio))
+        drawn = draws.select(stratum, (F.pmod(F.xxhash64(stratum, "_i", F.lit(seed), F.lit(k)), F.col("_size")) + 1).alias("_turn"))
+        out.append(rows.join(drawn, [stratum, "_turn"]).select(*triples.columns))
+    return out
+
+
+def grouped_by(df: DataFrame, keys: Sequence[str], most: int, order: Sequence[Column]) -> DataFrame:
+    """At most ``most`` rows of each group, the first in ``order``."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= most).drop("_r")
+
+
+def head(df: DataFrame, order: Sequence[Column]):
+    """The first row in ``order``, or None."""
+    return df.orderBy(*order).first()
+
+
+def last(df: DataFrame, order: Sequence[Column]):
+    """The last row in ``order``, or None."""
+    indexed = with_index(df, order, "_ix")
+    return indexed.where(F.col("_ix") == df.count() - 1).drop("_ix").first()
+
+
+def find(df: DataFrame, condition: Column, order: Sequence[Column]):
+    """The first row in ``order`` that fulfils ``condition``, or None."""
+    return df.where(condition).orderBy(*order).first()
+
+
+def exists(df: DataFrame, condition: Column) -> bool:
+    return not df.where(condition).isEmpty()
+
+
+def forall(df: DataFrame, condition: Column) -> bool:
+    """Whether no row fails ``condition``; null fails it."""
+    return df.where(~F.coalesce(condition, F.lit(False))).isEmpty()
+
+
+def graph_names(quads: DataFrame) -> DataFrame:
+    """(``g``, ``n``): the graphs of quads and their sizes; the default graph is the empty name."""
+    return quads.groupBy(F.coalesce("g", F.lit("")).alias("g")).agg(F.count("*").alias("n"))
+
+
+def graph(quads: DataFrame, name: str) -> DataFrame:
+    """The quads of one graph."""
+    return quads.where(F.coalesce("g", F.lit("")) == name)
 
 
 def namespace(uri: Column) -> Column:

@@ -128,6 +128,20 @@ def _hop_counts(own: DataFrame, facts: DataFrame, shape: Shape, sides: DataFrame
     return base.join(seen, "rule_id", "left").select("rule_id", "body_size", zero("_pca").alias("pca_body_size"), (F.col("_unseen") + zero("_more")).alias("qpca_body_size"))
 
 
+def path_counts(rules: DataFrame, facts: DataFrame) -> DataFrame:
+    """(``rule_id``, ``paths``): how many instances each rule's body has (not injective). Two-hop bodies are counted by the values in their middle,
+    not listed."""
+    out = None
+    for shape, own in by_shape(rules):
+        if is_hop(shape):
+            ends = [facts.groupBy(F.col("p").alias(f"p{j}"), F.col("s" if shape[j][0] == 2 else "o").alias("z")).agg(F.count("*").alias(f"n{j}")) for j in (1, 2)]
+            part = broadcast_if_small(own).join(ends[0], "p1").join(ends[1], ["p2", "z"]).groupBy("rule_id").agg(F.sum(F.col("n1") * F.col("n2")).alias("paths"))
+        else:
+            part = instances(own, facts, shape, False).groupBy("rule_id").agg(F.count("*").alias("paths"))
+        out = part if out is None else out.unionByName(part)
+    return rules.sparkSession.createDataFrame([], "rule_id long, paths long") if out is None else out
+
+
 def _pair_counts(rules: DataFrame, facts: DataFrame, pairs: DataFrame, sides: DataFrame, values: DataFrame) -> DataFrame:
     """(``rule_id``, ``body_size``, ``pca_body_size``, ``qpca_body_size``) from the listed pairs."""
     known = facts.select("s", "p", "o", F.lit(True).alias("known"))

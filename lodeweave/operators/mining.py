@@ -138,7 +138,8 @@ def mine(facts: DataFrame, task: MiningTask = MiningTask()) -> DataFrame:
         facts = facts.join(F.broadcast(big), "p", "left_semi")
     lower = _lower_sides(facts, task)
     sizes = cut(head_sizes(facts, task.injective).where(F.col("head_size") >= task.min_head_size).withColumnRenamed("p", "p0"), "heads")
-    sizes = broadcast_if_small(sizes)
+    wanted = head_predicates(task.patterns)
+    sizes = broadcast_if_small(sizes if wanted is None else sizes.where(F.col("p0").isin(sorted(wanted))))
     source = facts
     if task.sampled:
         sizes = sizes.withColumn("rate", _rate(task))
@@ -148,6 +149,8 @@ def mine(facts: DataFrame, task: MiningTask = MiningTask()) -> DataFrame:
     began, out, threshold = time.time(), None, task
     shapes = closed_shapes(task.max_length, task.with_constants)
     for length in range(2, task.max_length + 1):
+        if task.patterns and all(p.exact and len(p.body) + 1 != length for p in task.patterns):
+            continue
         if task.timeout_minutes and time.time() - began > task.timeout_minutes * 60:
             break
         found = [_of_shape(facts, source, s, sizes, near, lower, threshold) for s in shapes if len(s) == length]
@@ -161,9 +164,22 @@ def mine(facts: DataFrame, task: MiningTask = MiningTask()) -> DataFrame:
             worst = out.agg(F.count("*").alias("n"), F.min("head_coverage").alias("hc")).first()
             if worst["n"] >= task.top_k:
                 threshold = replace(task, min_head_coverage=max(worst["hc"], task.min_head_coverage))
+    if out is None:
+        out = _of_shape(facts.limit(0), source.limit(0), shapes[0], sizes, near, lower, task)
     return out.withColumn("rule_id", F.xxhash64("canon")).select("rule_id", *out.columns)
 
 
+def head_predicates(patterns: tuple[RulePattern, ...]) -> set[int] | None:
+    """The head predicates that patterns leave, so that other heads are never joined; None if one of them leaves all."""
+    out: set[int] = set()
+    for p in patterns:
+        item = p.head.p if p.head else None
+        if item is None or item.kind not in ("constant", "one_of"):
+            return None
+        out |= {item.value} if item.kind == "constant" else set(item.value)
+    return out if patterns else None
+
+
 def top_rules(rules: DataFrame, k: int, overflow: bool = False) -> DataFrame:
     """The ``k`` rules of largest head coverage; with ``overflow`` all that tie with the last."""
     if not overflow:

@@ -155,15 +155,30 @@ def _(spark, d):
     return D.distinct_by(complete_quads(spark, d), ["s"], [F.col("p"), F.col("o")])
 
 
-@query("split_shuffle")
+@query(
+    "split_shuffle",
+    f"""WITH {FACTS_SQL}, t AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY s, o) AS turn, count(*) OVER () AS total FROM facts), i AS (SELECT p, total, row_number() OVER (ORDER BY turn, p) - 1 AS ix FROM t)
+SELECT p, CAST(CASE WHEN ix < round(0.8 * total) THEN 0 WHEN ix < round(0.9 * total) THEN 1 ELSE 2 END AS INT) AS part, count(*) AS n FROM i GROUP BY ALL""",
+)
 def _(spark, d):
     parts = D.split(facts(spark, d), (0.8, 0.1, 0.1))
     return D.concat(*[x.groupBy("p").agg(F.count("*").alias("n")).withColumn("part", F.lit(i)) for i, x in enumerate(parts)])
 
 
-@query("bootstrap")
+@query("bootstrap", f"WITH {FACTS_SQL}, n AS (SELECT p, count(*) AS n FROM facts GROUP BY p) SELECT part, p, CAST(round(n * ratio) AS BIGINT) AS n FROM n, (VALUES (0, 0.5), (1, 1.25)) AS r(part, ratio) WHERE round(n * ratio) > 0")
+def _(spark, d):
+    parts = D.bootstrap(facts(spark, d), (0.5, 1.25))
+    return D.concat(*[x.groupBy("p").agg(F.count("*").alias("n")).withColumn("part", F.lit(i)) for i, x in enumerate(parts)])
+
+
+@query("grouped_by", f"WITH {FACTS_SQL} SELECT s, p, o FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY s, o) AS r FROM facts) WHERE r <= 3")
+def _(spark, d):
+    return D.grouped_by(facts(spark, d), ["p"], 3, [F.col("s"), F.col("o")])
+
+
+@query("graph_sizes", f"WITH {_DEC} SELECT g, count(*) AS n FROM dq GROUP BY g")
 def _(spark, d):
-    return D.bootstrap(facts(spark, d), 0.5).groupBy("p").agg(F.count("*").alias("n"))
+    return D.graph_names(D.decoded_quads(spark, d))
 
 
 _CARD = """card AS (SELECT p, count(*) AS size, count(DISTINCT s) AS domain, count(DISTINCT o) AS range FROM facts GROUP BY p),

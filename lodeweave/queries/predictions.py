@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeweave.operators import prediction as P
 from lodeweave.operators import ruleset as R
 from lodeweave.operators import tasks as T
-from lodeweave.operators.measures import with_confidences, with_lift
+from lodeweave.operators.measures import path_counts, with_confidences, with_lift
 from lodeweave.operators.mining import MiningTask, mine, without_quasi_binding
 from lodeweave.plans.lineage import cut
 from lodeweave.queries.common import FACTS_SQL, facts
@@ -153,6 +153,13 @@ def _(spark, d):
     return counts.join(rules.select("rule_id", "canon"), "rule_id").select("canon", "result", "n")
 
 
+@query("path_counts", rules(100, 0.01) + f", {instances(False)} SELECT canon, count(*) AS paths FROM inst JOIN q USING (id) GROUP BY canon")
+def _(spark, d):
+    f = facts(spark, d)
+    mined = cut(mine(f, MiningTask(min_head_coverage=0.01)), "rules")
+    return path_counts(mined, f).join(mined.select("rule_id", "canon"), "rule_id").select("canon", "paths")
+
+
 _ATOM = "'( ?' || chr(97 + CAST(substr({x}, 1, 1) AS INT)) || ' ' || {p} || ' ?' || chr(97 + CAST(substr({x}, 2, 1) AS INT)) || ' )'"
 
 
