@@ -12,7 +12,7 @@ from lodeweave.operators.measures import path_counts, with_confidences, with_lif
 from lodeweave.operators.mining import MiningTask, mine, without_quasi_binding
 from lodeweave.plans.lineage import cut
 from lodeweave.queries.common import FACTS_SQL, facts
-from lodeweave.queries.rule_sql import INV2, KNOWN, LEN2, RESULT, instances, measured, rules
+from lodeweave.queries.rule_sql import INV2, KNOWN, LEN2, RESULT, instances, measured, rules, with_object_constants
 from lodeweave.session import table
 
 QUERIES = {}
@@ -36,6 +36,10 @@ def _base(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 _RULES = measured(100, 0.01)
 
 
+def _constant_rules(spark: SparkSession, d: str) -> DataFrame:
+    return cut(mine(facts(spark, d), MiningTask(min_head_coverage=0.05, constants="object", max_length=3)), "rules")
+
+
 @query("rules_sorted", _RULES + " SELECT canon, row_number() OVER (ORDER BY qpca DESC NULLS LAST, pca DESC NULLS LAST, cwa DESC NULLS LAST, hc DESC, canon) AS place FROM rt")
 def _(spark, d):
     _, rules = _base(spark, d)
@@ -99,36 +103,51 @@ def _(spark, d):
     return R.prune_data_coverage(rules, f, injective=False).select("canon")
 
 
+_LEFT = {
+    "prune_maximal": "canon NOT IN (SELECT parent FROM e)",
+    "prune_closed": "canon NOT IN (SELECT canon FROM e WHERE hc = parent_hc)",
+    "prune_skyline": "canon NOT IN (SELECT canon FROM e WHERE parent_hc >= hc)",
+}
 for _name, _prune in (("prune_maximal", R.prune_maximal), ("prune_closed", lambda r: R.prune_closed(r, "HeadCoverage")), ("prune_skyline", lambda r: R.prune_skyline(r, "HeadCoverage"))):
 
-    @query(_name)
+    @query(_name, f"{with_object_constants(100, 0.05)} SELECT canon, support FROM q WHERE {_LEFT[_name]}")
     def _(spark, d, prune=_prune):
-        f = facts(spark, d)
-        return prune(cut(mine(f, MiningTask(min_head_coverage=0.05, constants="object", max_length=3)), "rules")).select("canon", "support")
+        return prune(_constant_rules(spark, d)).select("canon", "support")
 
 
-@query("dbscan_clusters")
+@query("rules_len3_constants", f"{with_object_constants(100, 0.05)} SELECT canon, support, round(hc, 6) AS head_coverage FROM q")
 def _(spark, d):
-    _, rules = _base(spark, d)
-    return R.cluster_rules(rules, 2, 0.85).select("canon", "cluster")
+    return _constant_rules(spark, d).select("canon", "support", F.round("head_coverage", 6).alias("head_coverage"))
 
 
 _ITEM = "CASE WHEN {a} = {b} THEN 3.0 ELSE 0.0 END"  # rules without constants: all items are variables, so that atoms of one predicate are alike
 
 
-@query(
-    "rule_similarity",
+_SIMILAR = (
     rules(100, 0.01)
-    + f""", w AS (SELECT x.id, CASE WHEN x.p2 IS NULL OR y.p2 IS NULL THEN greatest({_ITEM.format(a="x.p1", b="y.p1")}, {_ITEM.format(a="coalesce(x.p2, -1)", b="y.p1")}, {_ITEM.format(a="x.p1", b="coalesce(y.p2, -1)")})
+    + f""", w AS (SELECT x.id AS x, y.id AS y, x.hp, CASE WHEN x.p2 IS NULL OR y.p2 IS NULL THEN greatest({_ITEM.format(a="x.p1", b="y.p1")}, {_ITEM.format(a="coalesce(x.p2, -1)", b="y.p1")}, {_ITEM.format(a="x.p1", b="coalesce(y.p2, -1)")})
   ELSE greatest({_ITEM.format(a="x.p1", b="y.p1")} + {_ITEM.format(a="x.p2", b="y.p2")}, {_ITEM.format(a="x.p1", b="y.p2")} + {_ITEM.format(a="x.p2", b="y.p1")}) END AS body,
-  CASE WHEN x.p2 IS NULL OR y.p2 IS NULL THEN 2 ELSE 3 END AS len FROM q x JOIN q y ON x.hp = y.hp AND x.id <> y.id)
-SELECT round((body + 3) / (3 * len), 6) AS similarity, count(*) AS n FROM w GROUP BY ALL""",
+  CASE WHEN x.p2 IS NULL OR y.p2 IS NULL THEN 2 ELSE 3 END AS len FROM q x JOIN q y ON x.hp = y.hp AND x.id <> y.id)"""
 )
+
+
+@query("rule_similarity", _SIMILAR + " SELECT round((body + 3) / (3 * len), 6) AS similarity, count(*) AS n FROM w GROUP BY ALL")
 def _(spark, d):
     _, rules = _base(spark, d)
     return R.similar_pairs(rules, rules, same_head=True).groupBy(F.round("similarity", 6).alias("similarity")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "dbscan_clusters",
+    f"""WITH RECURSIVE {_SIMILAR.removeprefix("WITH ")}, l AS (SELECT x, y FROM w WHERE (body + 3) / (3 * len) >= 0.85),
+c(id, seen) AS (SELECT id, id FROM q UNION SELECT c.id, l.y FROM c JOIN l ON l.x = c.seen), k AS (SELECT id, min(seen) AS first FROM c GROUP BY id)
+SELECT canon, CAST(dense_rank() OVER (ORDER BY hp, first) - 1 AS INT) AS cluster FROM q JOIN k USING (id)""",  # two like rules are enough to go on from either, and numbers follow the canonical text
+)
+def _(spark, d):
+    _, rules = _base(spark, d)
+    return R.cluster_rules(rules, 2, 0.85).select("canon", "cluster")
+
+
 @query(
     "quasi_binding",
     f"""WITH {FACTS_SQL}, z AS (SELECT p, count(*) AS n FROM facts GROUP BY p HAVING count(*) >= 100), r AS (({LEN2.format(w="")}) UNION ALL ({INV2.format(w="")}) UNION ALL

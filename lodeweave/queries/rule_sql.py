@@ -86,3 +86,42 @@ KNOWN = "JOIN side ON side.p = x.hp LEFT JOIN facts f ON f.p = x.hp AND f.s = x.
 def instances(injective: bool) -> str:
     """``inst``: every instance of every body with its rule, those whose head is one of its body atoms left out if injective."""
     return f"inst AS (SELECT id, hp, a, b FROM ({_bodies(False, injective)}) JOIN q USING (bid))"
+
+
+def with_object_constants(min_head: int, coverage: float) -> str:
+    """q: the rules of up to three atoms whose objects may be constants (canonical text, head predicate, support, head coverage, and the
+    texts of the rules that lack one of two body atoms)."""
+    out = []
+    for head in ("01", "0C"):
+        atoms = [x + y for x in "012" for y in "012C" if x != y and not (head == "0C" and "2" in x + y)]
+        for body in [(a,) for a in atoms] + [(a, b) for i, a in enumerate(atoms) for b in atoms[i:]]:
+            items = [x for a in (head, *body) for x in a if x != "C"]
+            linked = set(head) - {"C"}
+            for _ in body:
+                linked |= {x for a in body if set(a) & linked for x in a if x != "C"}
+            if any(items.count(x) < 2 for x in items) or not all(set(a) & linked for a in body):
+                continue
+            at: dict[str, str] = {}
+            joins, text, keys = [], [], []
+            for j, a in enumerate((head, *body)):
+                on = []
+                for x, c in zip(a, "so"):
+                    if x != "C" and at.setdefault(x, f"f{j}.{c}") != f"f{j}.{c}":
+                        on.append(f"f{j}.{c} = {at[x]}")
+                for i, b in enumerate((head, *body)[:j]):
+                    if a == b:
+                        differ = f"f{i}.p <> f{j}.p" if "C" not in a else f"(f{i}.p <> f{j}.p OR f{i}.o <> f{j}.o)"
+                        on.append(differ)
+                joins.append(f"facts f{j}" + (f" ON {' AND '.join(on)}" if j else ""))
+                item = lambda x, j=j: f"'#' || f{j}.o" if x == "C" else f"'?{x}'"
+                text.append(f"({item(a[0])} || ' ' || f{j}.p || ' ' || {item(a[1])} || ';')")
+                keys += [f"f{j}.p"] + ([f"f{j}.o"] if "C" in a else [])
+            n = "f0.s" if head == "0C" else "(f0.s, f0.o)"
+            canon = f"{text[0]} || {text[1]}" if len(body) == 1 else f"{text[0]} || least({text[1]} || {text[2]}, {text[2]} || {text[1]})"
+            parents = f"{text[0]} || {text[1]} AS a, {text[0]} || {text[2]} AS b" if len(body) == 2 else "NULL AS a, NULL AS b"
+            group = ", ".join(dict.fromkeys(keys))
+            out.append(f"(SELECT f0.p AS hp, {canon} AS canon, {parents}, count(DISTINCT {n}) AS support FROM {' JOIN '.join(joins)} GROUP BY {group} HAVING count(DISTINCT {n}) >= {max(1, int(min_head * coverage))})")
+    return f"""WITH {FACTS_SQL}, z AS (SELECT p, count(*) AS n FROM facts GROUP BY p HAVING count(*) >= {min_head}),
+r AS ({" UNION ALL ".join(out)}),
+q AS MATERIALIZED (SELECT canon, any_value(a) AS a, any_value(b) AS b, any_value(support) AS support, any_value(support / n) AS hc FROM r JOIN z ON z.p = hp WHERE support >= greatest(1, ceil(round(n * {coverage}, 6))) GROUP BY canon),
+e AS MATERIALIZED (SELECT q.canon, q.hc, x.canon AS parent, x.hc AS parent_hc FROM q JOIN q x ON x.canon IN (q.a, q.b))"""
