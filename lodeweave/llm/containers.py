@@ -190,5 +190,16 @@ def p7_fill(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> D
     return fill.groupBy((F.lit(CAPACITY) - F.col("used")).alias("room_left")).agg(F.count("*").alias("n_containers"))
 
 
-QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill}
-ORACLE: dict[str, str] = {}
+def p7_totals(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """What must hold of any filling: every post once, no container above its capacity, no post split that would have fitted, and how many
+    containers more there are than the tokens need at least."""
+    rows = cut(p7_containers(spark, sf_dir, vocabulary), "containers")
+    fill = rows.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    posts = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("pieces"))
+    a = fill.agg(F.count_if(F.col("used") > CAPACITY).alias("n_overfull"), (F.count("*") - F.ceil(F.sum("used") / CAPACITY)).alias("n_beyond_least"))
+    b = posts.agg(F.count("*").alias("n_posts"), F.count_if((F.col("size") <= CAPACITY) & (F.col("pieces") > 1)).alias("n_split_needlessly"))
+    return a.crossJoin(b).select(*[F.col(c).cast("long").alias(c) for c in ("n_posts", "n_overfull", "n_split_needlessly", "n_beyond_least")])  # one row each
+
+
+QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill, "p7_totals": p7_totals}
+ORACLE = {"p7_totals": "SELECT count(*) AS n_posts, 0::BIGINT AS n_overfull, 0::BIGINT AS n_split_needlessly, 0::BIGINT AS n_beyond_least FROM documents"}
