@@ -40,6 +40,13 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
 
 
+def _letter_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Length of each text, and the set of its letters as bits (by code modulo 64). An edit changes two bits at most."""
+    points, starts = _codes([t + "\0" for t in texts])
+    bits = np.uint64(1) << (points % 64).astype(np.uint64)
+    return np.diff(starts), np.bitwise_or.reduceat(bits, starts[:-1]) if len(texts) else np.empty(0, np.uint64)
+
+
 def suffix_array(codes: np.ndarray) -> np.ndarray:
     """Order of all suffixes by prefix doubling; the first sort takes as many symbols as fit 62 bits."""
     n = len(codes)
@@ -82,6 +89,7 @@ class LineIndex:
     def __init__(self, lines: list[tuple[int, str, str, str]], edits: int = 2):
         self.edits = edits
         self.subjects = [s for _, s, _, _ in lines]
+        self.letter_sets = _letter_sets(self.subjects)
         self.paths = {f: chr(_PATHS + i) for i, f in enumerate(dict.fromkeys(f for f, *_ in lines))}
         points, starts = _codes([f"{_START}{s}{_SEP}{p}{_SEP}{o}{self.paths[f]}" for f, s, p, o in lines])
         self.alphabet, codes = np.unique(points, return_inverse=True)
@@ -173,7 +181,11 @@ class LineIndex:
             lines.append(m)
         if not queries:
             return []
-        both = np.unique(np.stack((np.concatenate(queries), np.concatenate(lines)), 1), axis=0)
+        both = np.stack((np.concatenate(queries), np.concatenate(lines)), 1)
+        own, asking = self.letter_sets, _letter_sets([subjects[i] for i in asked])
+        likely = np.abs(asking[0][both[:, 0]] - own[0][both[:, 1]]) <= self.edits
+        likely &= np.bitwise_count(asking[1][both[:, 0]] ^ own[1][both[:, 1]]) <= 2 * self.edits
+        both = np.unique(both[likely], axis=0)
         return [(asked[q], m) for q, m in both.tolist() if near(subjects[asked[q]], self.subjects[m], self.edits)]
 
     def _take(self, q, lo, hi, queries: list, lines: list) -> None:
