@@ -148,13 +148,17 @@ def mine(facts: DataFrame, task: MiningTask = MiningTask()) -> DataFrame:
     near = _neighbours(facts, sizes, task)
     began, out, threshold = time.time(), None, task
     shapes = closed_shapes(task.max_length, task.with_constants)
+    frontier: dict[tuple[int, int], DataFrame] = {}
     for length in range(2, task.max_length + 1):
-        if task.patterns and all(p.exact and len(p.body) + 1 != length for p in task.patterns):
+        if task.patterns and all(p.exact and len(p.body) + 1 != length for p in task.patterns) and (length > 2 or task.max_length == 2):
             continue
         if task.timeout_minutes and time.time() - began > task.timeout_minutes * 60:
             break
-        found = [_of_shape(facts, source, s, sizes, near, lower, threshold) for s in shapes if len(s) == length]
+        found = [_of_shape(facts, source, s, sizes, near, lower, threshold, frontier) for s in shapes if len(s) == length]
         level = reduce(DataFrame.unionByName, found).dropDuplicates(["canon"])
+        if length == 2 and task.max_length > 2:
+            level = cut(level, "frontier")
+            frontier = _frontier(level)
         if task.patterns:
             level = level.where(reduce(lambda a, b: a | b, [matches(p) for p in task.patterns]))
         level = cut(level, f"rules-{length}")
@@ -191,18 +195,24 @@ def top_rules(rules: DataFrame, k: int, overflow: bool = False) -> DataFrame:
 def _neighbours(facts: DataFrame, sizes: DataFrame, task: MiningTask) -> DataFrame:
     """(``p0``, ``pn``, ``met``): bit 2 a + b of ``met`` is set if enough triples of the head predicate ``p0`` have at place a (0 subject,
     1 object) a value that the body predicate ``pn`` has at place b. Rules with that link can't support more."""
-    ends = [facts.select("p", F.lit(k).alias("sn"), F.col(c).alias("v")).distinct() for k, c in ((0, "s"), (1, "o"))]
-    ends = ends[0].unionByName(ends[1]).withColumnRenamed("p", "pn")
-    parts = []
-    for k, c in ((0, "s"), (1, "o")):
-        values = facts.groupBy(F.col("p").alias("p0"), F.col(c).alias("v")).agg(F.count("*").alias("n"))
-        parts.append(values.select("p0", F.lit(k).alias("hv"), "v", "n"))
-    n = parts[0].unionByName(parts[1]).join(sizes, "p0").join(ends, "v").groupBy("p0", "hv", "pn", "sn").agg(F.sum("n").alias("n"), F.first("head_size").alias("head_size"))
+    places = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in ((0, "s"), (1, "o"))]))
+    ends = facts.select("p", places.alias("x")).groupBy("x.v", "p", "x.k").agg(F.count("*").alias("n"))  # a hub's triples are counted before they meet
+    # Values that occur with the same predicates at the same places are taken together, so that no pairs of predicates are listed for each value.
+    own = ends.groupBy("v").agg(F.collect_list(F.struct("p", "k", "n")).alias("own"))
+    kinds = F.array_sort(F.transform("own", lambda x: F.struct(x["p"], x["k"])))
+    alike = own.select(F.explode("own").alias("x"), kinds.alias("kinds")).groupBy(F.col("x.p").alias("p0"), F.col("x.k").alias("hv"), "kinds").agg(F.sum("x.n").alias("n"))
+    n = alike.join(sizes, "p0").select("p0", "hv", "n", "head_size", F.inline("kinds").alias("pn", "sn")).groupBy("p0", "hv", "pn", "sn").agg(F.sum("n").alias("n"), F.first("head_size").alias("head_size"))
     met = n.where(F.col("n") >= _least(task)).groupBy("p0", "pn").agg(F.sum(F.expr("shiftleft(1, 2 * hv + sn)")).cast("int").alias("met"))
     return broadcast_if_small(cut(met, "neighbours"))
 
 
-def _of_shape(facts: DataFrame, source: DataFrame, shape: Shape, sizes: DataFrame, near: DataFrame, lower: DataFrame | None, task: MiningTask) -> DataFrame:
+def _frontier(rules: DataFrame) -> dict[tuple[int, int], DataFrame]:
+    """(``p0``, ``pn``) of the rules of two atoms on the head's pair, by the places of the body atom: a longer rule with that atom can't support more."""
+    plain = rules.where("head.s.is_var and head.o.is_var").select(F.col("head.p").alias("p0"), F.col("body")[0].alias("b")).where("b.s.is_var and b.o.is_var")
+    return {(x, 1 - x): broadcast_if_small(plain.where(F.col("b.s.var") == x).select("p0", F.col("b.p").alias("pn"))) for x in (0, 1)}
+
+
+def _of_shape(facts: DataFrame, source: DataFrame, shape: Shape, sizes: DataFrame, near: DataFrame, lower: DataFrame | None, task: MiningTask, frontier: dict[tuple[int, int], DataFrame] = {}) -> DataFrame:
     df = add_atom(None, source, shape, 0, task.injective).join(sizes, "p0")
     if CONST in shape[0]:
         df = _constants_allowed(df, task, "p0", shape[0].index(CONST), True, lower)
@@ -211,7 +221,9 @@ def _of_shape(facts: DataFrame, source: DataFrame, shape: Shape, sizes: DataFram
     for j in body_order(shape, set(head_vars)):
         df = add_atom(df, facts, shape, j, task.injective)
         mask = sum(1 << (2 * head_vars[x] + place) for place, x in enumerate(shape[j]) if x in head_vars)
-        if mask:
+        if len(shape) > 2 and CONST not in shape[0] and shape[j] in frontier:
+            df = df.join(frontier[shape[j]].withColumnRenamed("pn", f"p{j}"), ["p0", f"p{j}"], "left_semi")
+        elif mask:
             df = df.join(near.withColumnRenamed("pn", f"p{j}"), ["p0", f"p{j}"]).where(F.col("met").bitwiseAND(mask) == mask).drop("met")
         if CONST in shape[j]:
             df = _constants_allowed(df, task, f"p{j}", shape[j].index(CONST), False, lower)
