@@ -111,3 +111,48 @@ def test_patterns_of_longer_bodies(spark):
     assert ids(body=(p(2), p(2))) == []
     assert ids(body=(p(5), p(6)), orderless=False) == [0]
     assert ids(body=(p(6), p(5), p(4), p(3), p(2)), exact=True) == [0]
+
+
+def shuffled_rows(spark, f):
+    """The result of ``f`` and how many rows its stages shuffled."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        jvm = spark.sparkContext._jvm
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    out = f()
+    return out, sum(n for k, n in written().items() if k not in before)
+
+
+def test_distinct_predictions_of_a_hub_are_not_shuffled(spark, monkeypatch):
+    n, heads = 150, (NEAR, OWNER, 21, 22, 23, 24)
+    links = {(s, p, (s + k) % n) for k, p in enumerate(heads, 1) for s in range(n)}
+    f = spark.createDataFrame(sorted(links | {(s, CLASS, 900) for s in range(n)}), SPO).persist()
+    measured = with_confidences(mine(f, MiningTask(min_head_coverage=0.01)), f).persist()
+    assert {f"?0 {p} ?1;?0 {CLASS} ?2;?1 {CLASS} ?2;" for p in heads} <= {r["canon"] for r in measured.collect()}
+    monkeypatch.setattr(predictions, "_base", lambda spark, d: (f, measured))
+    got, shuffled = shuffled_rows(spark, lambda: predictions.QUERIES["predict_distinct"](spark, "").collect())
+    of_links = sorted(tuple(r) for r in got if r["p"] in heads)
+    assert of_links == sorted(x for p in heads for x in ((p, "Positive", n), (p, "Negative", n * n - n)))
+    assert shuffled < len(heads) * n * n
+
+
+@pytest.mark.parametrize("bits, constants", [(2, ""), (63, ""), (63, "object")])
+def test_best_rules_as_chosen_from_all_predictions(hub, rows, monkeypatch, bits, constants):
+    from lodeweave.operators import prediction as P
+
+    monkeypatch.setattr(P, "_BITS", bits, raising=False)
+    task = MiningTask(min_head_size=50, **({"constants": constants, "min_head_coverage": 0.03, "max_length": 2} if constants else {}))
+    measured = with_confidences(mine(hub, task), hub).persist()
+    cols = ["rule_id", "s", "p", "o", "result", "conf", "head_coverage", "cluster"]
+    listed = P.distinct_predictions(P.with_confidence(P.predict(measured, hub, injective=False), measured))
+    want = rows(listed, *cols)
+    assert len({r[0] for r in want}) > 1 and {r[4] for r in want} >= ({"Positive", "Negative"} if constants else {"Positive", "Negative", "PcaPositive"})
+    assert ("#" in {r["canon"].split(";")[0].split(" ")[2][0] for r in measured.collect()}) == bool(constants)
+    assert rows(P.best_predictions(measured, hub), *cols) == want
+    none = P.best_predictions(measured.where("false"), hub)
+    assert none.columns == cols and none.isEmpty()
