@@ -27,7 +27,7 @@ def _unused(*args, **kw):
     raise AssertionError("not needed for this query")
 
 
-@pytest.mark.parametrize("name", ["rule_texts", "rule_similarity"])
+@pytest.mark.parametrize("name", ["rule_texts", "rule_similarity", "dbscan_clusters"])
 def test_rules_alone_need_no_confidences(spark, on_hub, monkeypatch, name):
     monkeypatch.setattr(predictions, "with_confidences", _unused)
     assert predictions.QUERIES[name](spark, "").collect()
