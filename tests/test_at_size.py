@@ -31,3 +31,26 @@ def _unused(*args, **kw):
 def test_rules_alone_need_no_confidences(spark, on_hub, monkeypatch, name):
     monkeypatch.setattr(predictions, "with_confidences", _unused)
     assert predictions.QUERIES[name](spark, "").collect()
+
+
+def _constants_need_frequent_pairs(spark):
+    """Each thing has 60 marks of its own and one that all share: 60 x 60 pairs of marks for each thing, if no pair is left out before the third atom."""
+    rows = {(s, p, 100_000 * s + p) for s in range(60) for p in range(200, 260)} | {(s, p, p) for s in range(60) for p in (1, 2, 3)}
+    return spark.createDataFrame(sorted(rows), SPO)
+
+
+def test_rare_constants_are_left_out_before_the_third_atom(spark, monkeypatch):
+    from lodeweave.operators import mining
+
+    met, kept = [], mining.add_atom
+
+    def counted(df, facts, shape, j, injective):
+        if df is not None and len(shape) == 3 and shape == ((0, -1), (0, -1), (0, -1)) and j == 2:
+            met.append(df.count())
+        return kept(df, facts, shape, j, injective)
+
+    monkeypatch.setattr(mining, "add_atom", counted)
+    found = mine(_constants_need_frequent_pairs(spark), MiningTask(min_head_size=50, min_head_coverage=0.5, constants="object"))
+    long = {r["canon"] for r in found.where("size(body) = 2 and head.o.const is not null").collect()}
+    assert {f"?0 {a} #{a};?0 {b} #{b};?0 {c} #{c};" for a, b, c in ((1, 2, 3), (2, 1, 3), (3, 1, 2))} <= long
+    assert met and max(met) <= 60 * 3 * 3
