@@ -1,7 +1,9 @@
 """Queries do their job without work that grows with the square of a hub."""
 
+import numpy as np
 import pytest
 
+from lodeweave.operators import measures, unions
 from lodeweave.operators.mining import MiningTask, mine
 from lodeweave.queries import predictions
 
@@ -54,3 +56,45 @@ def test_rare_constants_are_left_out_before_the_third_atom(spark, monkeypatch):
     long = {r["canon"] for r in found.where("size(body) = 2 and head.o.const is not null").collect()}
     assert {f"?0 {a} #{a};?0 {b} #{b};?0 {c} #{c};" for a, b, c in ((1, 2, 3), (2, 1, 3), (3, 1, 2))} <= long
     assert met and max(met) <= 60 * 3 * 3
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    """300 things of one class and each of one more, so that no two have equal classes; NEAR leads on by 1."""
+    rows = {(s, CLASS, 900) for s in range(300)} | {(s, CLASS, 1000 + s) for s in range(300)} | {(s, NEAR, (s + 1) % 300) for s in range(300)}
+    return spark.createDataFrame(sorted(rows), SPO).persist()
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """The most rows of a table that measures write between steps."""
+    most, write = [0], measures.cut
+
+    def counted(df, label):
+        out = write(df, label)
+        most[0] = max(most[0], out.count())
+        return out
+
+    monkeypatch.setattr(measures, "cut", counted)
+    return most
+
+
+@pytest.mark.parametrize("name", ["predict_classes"])
+def test_confidences_of_a_hub_write_no_pairs(spark, monkeypatch, wide, written, name):
+    monkeypatch.setattr(predictions, "facts", lambda spark, d: wide)
+    assert predictions.QUERIES[name](spark, "").where(f"canon = '?0 {NEAR} ?1;?0 {CLASS} ?2;?1 {CLASS} ?2;'").count()
+    assert 0 < written[0] < 10_000  # it has 90,000 pairs, and as many of groups
+
+
+def test_unions_by_sorting_and_by_bits(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(unions, "BLOCK", 500)
+    z, v = np.append(rng.integers(0, 40, 6000), np.repeat(99, 3000)), np.append(rng.integers(0, 9000, 6000), np.arange(3000))
+    z, v = np.unique(np.column_stack([z, v]), axis=0).T
+    lists = unions.Lists(z, v)
+    sets = [np.unique(rng.choice(np.append(np.arange(60), 99), rng.integers(0, 9))) for _ in range(200)]
+    have, of = lists.find(np.concatenate(sets))
+    rows = np.repeat(np.arange(200), [len(x) for x in sets])[have]
+    want = [len(set(v[np.isin(z, x)])) for x in sets]
+    assert unions.sizes_of_unions(lists, rows, of, 200).tolist() == want
+    assert max(want) > 3000 and min(want) == 0
