@@ -79,7 +79,7 @@ def written(monkeypatch):
     return most
 
 
-@pytest.mark.parametrize("name", ["predict_classes", "rules_sorted"])
+@pytest.mark.parametrize("name", ["predict_classes", "rules_sorted", "lift"])
 def test_confidences_of_a_hub_write_no_pairs(spark, monkeypatch, wide, written, name):
     monkeypatch.setattr(predictions, "facts", lambda spark, d: wide)
     assert predictions.QUERIES[name](spark, "").where(f"canon = '?0 {NEAR} ?1;?0 {CLASS} ?2;?1 {CLASS} ?2;'").count()
