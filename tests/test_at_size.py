@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from lodeweave.operators import measures, unions
+from pyspark.sql import functions as F
+
+from lodeweave.operators import measures, prediction, rule_sets, unions
 from lodeweave.operators.mining import MiningTask, mine
 from lodeweave.queries import predictions
 
@@ -98,3 +100,16 @@ def test_unions_by_sorting_and_by_bits(monkeypatch):
     want = [len(set(v[np.isin(z, x)])) for x in sets]
     assert unions.sizes_of_unions(lists, rows, of, 200).tolist() == want
     assert max(want) > 3000 and min(want) == 0
+
+
+@pytest.mark.parametrize("dense", [10, 100_000_000])
+def test_rule_sets_of_a_hub_are_counted_as_listed(hub, dense):
+    """Bodies joined as bits (``dense`` 10: NEAR, OWNER and CLASS) and bodies whose pairs are listed in blocks give the listed predictions."""
+    rules = measures.with_confidences(mine(hub, MiningTask(min_head_size=50)), hub).persist()
+    listed = prediction.with_confidence(prediction.predict(rules, hub, injective=False), rules)
+    for scorer in ("maximum", "noisy_or"):
+        n = prediction.group_predictions(listed, scorer).groupBy("p", "result", F.round("score", 6).alias("score"), F.size("rules").alias("n_rules")).count()
+        got = rule_sets.score_counts(rules, hub, scorer, dense=dense).groupBy("p", "result", F.round("score", 6).alias("score"), "n_rules").agg(F.sum("n"))
+        want = sorted(map(tuple, n.collect()))
+        assert sorted(map(tuple, got.collect())) == want
+        assert {r[1] for r in want} >= {"Positive", "Negative"} and max(r[3] for r in want) > 3
