@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from lodeweave.operators import measures, prediction, rule_sets, unions
+from lodeweave.operators import measures, prediction, rule_sets, ruleset, unions
 from lodeweave.operators.mining import MiningTask, mine
 from lodeweave.queries import predictions
 
@@ -113,3 +113,14 @@ def test_rule_sets_of_a_hub_are_counted_as_listed(hub, dense):
         want = sorted(map(tuple, n.collect()))
         assert sorted(map(tuple, got.collect())) == want
         assert {r[1] for r in want} >= {"Positive", "Negative"} and max(r[3] for r in want) > 3
+
+
+def test_instances_of_hops_are_counted_as_listed(spark, hub, monkeypatch):
+    loops = spark.createDataFrame([(s, NEAR, s) for s in range(0, 120, 9)] + [(s, OWNER, s) for s in range(0, 120, 6)], SPO)
+    facts = hub.unionByName(loops).persist()
+    rules = mine(facts, MiningTask(min_head_size=50)).persist()
+    want = sorted(map(tuple, ruleset.instantiate(rules, facts).groupBy("rule_id", "result").count().collect()))
+    listed, list_rows = [], ruleset.instantiate
+    monkeypatch.setattr(ruleset, "instantiate", lambda r, f: listed.append(r) or list_rows(r, f))
+    assert sorted(map(tuple, ruleset.instance_counts(rules, facts).select("rule_id", "result", "n").collect())) == want
+    assert not any(r.where("exists(body, a -> a.s.var = 2 or a.o.var = 2)").count() for r in listed)
