@@ -115,6 +115,19 @@ def test_rule_sets_of_a_hub_are_counted_as_listed(hub, dense):
         assert {r[1] for r in want} >= {"Positive", "Negative"} and max(r[3] for r in want) > 3
 
 
+def test_facts_are_covered_without_listing_predictions(hub, monkeypatch):
+    rules = measures.with_confidences(mine(hub, MiningTask(min_head_size=50)), hub).persist()
+    known = set(map(tuple, hub.select("s", "p", "o").collect()))
+    place = {r["rule_id"]: i for i, r in enumerate(ruleset.sort_rules(rules).collect())}
+    best = {}
+    for r, *fact in measures.predicted_pairs(rules, hub).select("rule_id", "s", "p", "o").collect():
+        if tuple(fact) in known:
+            best[tuple(fact)] = min(best.get(tuple(fact), r), r, key=place.get)
+    monkeypatch.setattr(ruleset, "predicted_pairs", _unused)
+    got = {r["rule_id"] for r in ruleset.prune_data_coverage(rules, hub, injective=False).select("rule_id").collect()}
+    assert got == set(best.values()) and 1 < len(got) < len(place)
+
+
 def test_instances_of_hops_are_counted_as_listed(spark, hub, monkeypatch):
     loops = spark.createDataFrame([(s, NEAR, s) for s in range(0, 120, 9)] + [(s, OWNER, s) for s in range(0, 120, 6)], SPO)
     facts = hub.unionByName(loops).persist()
