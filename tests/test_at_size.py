@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from lodeweave.operators import measures, prediction, rule_sets, ruleset, unions
+from lodeweave.operators import measures, prediction, rule_sets, ruleset, tasks, unions
 from lodeweave.operators.mining import MiningTask, mine
 from lodeweave.queries import predictions
 
@@ -137,3 +137,14 @@ def test_instances_of_hops_are_counted_as_listed(spark, hub, monkeypatch):
     monkeypatch.setattr(ruleset, "instantiate", lambda r, f: listed.append(r) or list_rows(r, f))
     assert sorted(map(tuple, ruleset.instance_counts(rules, facts).select("rule_id", "result", "n").collect())) == want
     assert not any(r.where("exists(body, a -> a.s.var = 2 or a.o.var = 2)").count() for r in listed)
+
+
+@pytest.mark.parametrize("side", ["subject", "object"])
+def test_best_candidates_are_those_of_all_predictions(hub, side):
+    rules = measures.with_confidences(mine(hub, MiningTask(min_head_size=50)), hub).persist()
+    wanted = tasks.test_tasks(hub, side)
+    listed = prediction.with_confidence(prediction.predict(rules, hub, injective=False), rules)
+    want = tasks.prediction_tasks(prediction.group_predictions(listed, top_rules=3, non_redundant=True), side, wanted, 3)
+    got = tasks.best_candidates(rules, hub, side, wanted, 3)
+    flat = lambda df: sorted(map(repr, df.select(*tasks.KEY, "rank", "candidate", F.round("score", 9)).collect()))
+    assert flat(got) == flat(want) and len(flat(got)) > 300
