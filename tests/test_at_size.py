@@ -43,21 +43,36 @@ def _constants_need_frequent_pairs(spark):
     return spark.createDataFrame(sorted(rows), SPO)
 
 
-def test_rare_constants_are_left_out_before_the_third_atom(spark, monkeypatch):
+@pytest.fixture
+def third_atoms(monkeypatch):
+    """Rows that rules of three constants have before their third atom."""
     from lodeweave.operators import mining
 
     met, kept = [], mining.add_atom
 
     def counted(df, facts, shape, j, injective):
-        if df is not None and len(shape) == 3 and shape == ((0, -1), (0, -1), (0, -1)) and j == 2:
+        if df is not None and shape == ((0, -1), (0, -1), (0, -1)) and j == 2:
             met.append(df.count())
         return kept(df, facts, shape, j, injective)
 
     monkeypatch.setattr(mining, "add_atom", counted)
+    return met
+
+
+def test_rare_constants_are_left_out_before_the_third_atom(spark, third_atoms):
     found = mine(_constants_need_frequent_pairs(spark), MiningTask(min_head_size=50, min_head_coverage=0.5, constants="object"))
     long = {r["canon"] for r in found.where("size(body) = 2 and head.o.const is not null").collect()}
     assert {f"?0 {a} #{a};?0 {b} #{b};?0 {c} #{c};" for a, b, c in ((1, 2, 3), (2, 1, 3), (3, 1, 2))} <= long
-    assert met and max(met) <= 60 * 3 * 3
+    assert third_atoms and max(third_atoms) <= 60 * 3 * 3
+
+
+@pytest.mark.parametrize("name", ["prune_maximal"])
+def test_pruning_mines_without_rare_constants(spark, monkeypatch, third_atoms, name):
+    rows = _constants_need_frequent_pairs(spark)
+    monkeypatch.setattr(predictions, "facts", lambda spark, d: rows.unionByName(rows.selectExpr("s + 60 as s", "p", "if(p < 10, o, o + 10000000) as o")))
+    got = {r["canon"] for r in predictions.QUERIES[name](spark, "").collect()}
+    assert ("?0 1 #1;?0 2 #2;?0 3 #3;" in got) == (name == "prune_maximal") and ("?0 1 #1;?0 2 #2;" in got) == (name != "prune_maximal")
+    assert third_atoms and max(third_atoms) <= 120 * 3 * 3
 
 
 @pytest.fixture(scope="module")
