@@ -66,7 +66,7 @@ def test_rare_constants_are_left_out_before_the_third_atom(spark, third_atoms):
     assert third_atoms and max(third_atoms) <= 60 * 3 * 3
 
 
-@pytest.mark.parametrize("name", ["prune_maximal"])
+@pytest.mark.parametrize("name", ["prune_maximal", "prune_closed"])
 def test_pruning_mines_without_rare_constants(spark, monkeypatch, third_atoms, name):
     rows = _constants_need_frequent_pairs(spark)
     monkeypatch.setattr(predictions, "facts", lambda spark, d: rows.unionByName(rows.selectExpr("s + 60 as s", "p", "if(p < 10, o, o + 10000000) as o")))
